@@ -7,15 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import decontaminate, quality, simhash
+from colonnade.llm import decontaminate, media_ogg, packing, quality, simhash, warc
 from colonnade.llm.common import prepare, read_table
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    checked = F.when(F.col("intact"), F.col("payload_digest"))
+    return records.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_ogg.encode(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    media = media_ogg.decode(stored, ["doc_id"])
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = decontaminate.n_hit()
@@ -30,9 +56,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_ogg": op4_ogg,
+    "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+             d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+             f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+        SELECT d.page_id, n AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+        FROM d LEFT JOIN f ON d.digest = f.digest
+    """,
+}
