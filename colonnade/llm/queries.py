@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import decontaminate, media_ogg, packing, quality, simhash, warc
+from colonnade.llm import decontaminate, media_ogg, packing, quality, simhash, substring_dedup, warc
 from colonnade.llm.common import prepare, read_table
 
 
@@ -22,6 +22,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media_ogg.encode(read_table(spark, sf_dir, "documents"), ["doc_id"])
     media = media_ogg.decode(stored, ["doc_id"])
@@ -56,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_ogg": op4_ogg,
     "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
