@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import decontaminate, media_ogg, packing, quality, simhash, substring_dedup, warc
-from colonnade.llm.common import prepare, read_table
+from colonnade.llm import decontaminate, media_ogg, packing, pii, quality, simhash, substring_dedup, warc
+from colonnade.llm.common import read_table
+from colonnade.llm.spans import joined
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(read_table(spark, sf_dir, "documents"))
+    digest = F.sha2(joined(F.col("base")).cast("binary"), 256)
+    return rows.select("doc_id", *(c.alias(n) for n, c in pii.counts().items()), digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -61,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ogg": op4_ogg,
     "op5_packing": op5_packing,
