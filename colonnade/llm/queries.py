@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import decontaminate, media_ogg, packing, pii, quality, simhash, substring_dedup, warc
+from colonnade.llm import decontaminate, license_scan, media_ogg, packing, pii, quality, secrets_scan, simhash, substring_dedup, warc
 from colonnade.llm.common import read_table
 from colonnade.llm.spans import joined
 
@@ -29,6 +29,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(c.alias(n) for n, c in pii.counts().items()), digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -54,6 +68,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets_scan.find(read_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(joined(F.col("base")).cast("binary"), 256)
+    return rows.select("doc_id", *(count(k) for k in secrets_scan.PATTERNS), digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = decontaminate.n_hit()
@@ -69,9 +93,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_license": op2_license,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ogg": op4_ogg,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
