@@ -10,6 +10,7 @@ next block; a task's last one is split at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,8 +26,8 @@ WINDOW, END_ID = 2048, 1
 #: Token ids a document's text may need per block, in windows; and the bins of a window.
 BLOCK, BINS, DEPTH = 1024, 32, 3
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words that a worker remembers the ids of.
-_CACHE = 150_000
+#: Distinct pieces that a worker remembers the ids of.
+_CACHE = 600_000
 #: Sequences of one task; its number is above these bits of sequence_id.
 _TASK_BITS = 36
 
@@ -37,41 +38,70 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Characters of plain texts: ASCII and Latin-1's letters from A-grave on, which normalise to their lower case alone.
+_LETTERS = bytes([*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_PLAIN = bytes(range(0x80)) + _LETTERS
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
+#: The vocabulary's own pre-tokeniser, over lower-cased plain texts in Latin-1.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def plain_pieces(text: bytes) -> list[bytes] | None:
+    """What the pre-tokeniser makes of a UTF-8 text, in Latin-1; None where that needs its Unicode rules."""
+    if b"<|" in text:  # special tokens are matched before all else
+        return None
+    if not text.isascii():
+        try:
+            text = text.decode().encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if text.translate(None, _PLAIN):
+            return None
+    return _PIECE.findall(text.translate(_LOWER))
+
+
 class WordIds:
-    """Token ids of texts, by way of their words.
+    """Token ids of texts, by way of their pieces.
 
-    The vocabulary's rules never join characters across white space, so a text's ids are those of its words in
-    turn; ASCII white space alone is split at. Unseen words are encoded together, and what comes out is dealt to them by its offsets.
+    The vocabulary's rules never join characters across white space, nor across the pieces of its pre-tokeniser,
+    so a text's ids are those of its pieces in turn. Plain texts are cut by the pre-tokeniser's rule, others at ASCII
+    white space alone. Unseen pieces are encoded together, and what comes out is dealt to them by its offsets.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.plain: dict[bytes, bytes] = {}
+        self.other: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
+    def _learn(self, known: dict[bytes, bytes], pieces: list[bytes], charset: str) -> None:
+        texts = [p.decode(charset) for p in pieces]
         ends = np.cumsum([len(t) + 1 for t in texts])
         got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.asarray(got.ids, "<u4")
         starts = np.asarray([o[0] for o in got.offsets], np.int64)
         cuts = np.searchsorted(starts, ends, "left")
         done = 0
-        for word, cut in zip(words, cuts.tolist(), strict=True):
-            self.known[word] = ids[done:cut].tobytes()
+        for piece, cut in zip(pieces, cuts.tolist(), strict=True):
+            known[piece] = ids[done:cut].tobytes()
             done = cut
 
+    def _look_up(self, known: dict[bytes, bytes], texts: list[list[bytes]], charset: str) -> list[bytes]:
+        if len(known) > _CACHE:
+            known.clear()
+        unseen = list(set().union(*texts).difference(known)) if texts else []
+        for at in range(0, len(unseen), 4096):
+            self._learn(known, unseen[at : at + 4096], charset)
+        get = known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in texts]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text."""
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        split = [t.split() for t in texts]  # at ASCII white space
-        unseen = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
-        for at in range(0, len(unseen), 4096):
-            self.learn(unseen[at : at + 4096])
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        cut = [plain_pieces(t) for t in texts]
+        plain = iter(self._look_up(self.plain, [c for c in cut if c is not None], "latin-1"))
+        other = iter(self._look_up(self.other, [t.split() for t, c in zip(texts, cut, strict=True) if c is None], "utf-8"))
+        return [next(other if c is None else plain) for c in cut]
 
 
 @lru_cache(4)
