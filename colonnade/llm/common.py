@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,5 +58,13 @@ def text_bytes(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
+def neutral(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with doc_id and text under these names and all other columns under names that clash with none, and
+    a function that selects them again under their own names, in their own order."""
+    names = docs.columns
+    inner = [c if c in ("doc_id", "text") and c not in names[:i] else f"other_column_{i}" for i, c in enumerate(names)]
+    return docs.toDF(*inner), lambda frame: frame.select(*inner).toDF(*names)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import prepare, text_bytes
+from colonnade.llm.common import neutral, prepare, text_bytes
 
 WINDOW = 10
 #: A text of which more than this share of words is hit is dropped whole; else the hit spans are cut out.
@@ -239,8 +239,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = MAX_C
 
     Texts without a hit, nulls among them, stay as they are. Columns are those of docs.
     """
-    found = find_hits(docs, items, window=window)
-    kept = found.filter(n_hit() <= F.lit(max_coverage) * F.col("n_words")).select(*docs.columns, "spans")
-    inner = [f"c{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
-    renamed = kept.toDF(*inner, "spans")
-    return renamed.mapInArrow(_cut, renamed.drop("spans").schema).toDF(*docs.columns)
+    frame, restored = neutral(docs)
+    found = find_hits(frame, items, window=window)
+    kept = found.filter(n_hit() <= F.lit(max_coverage) * F.col("n_words")).select(*frame.columns, "spans")
+    return restored(kept.mapInArrow(_cut, frame.schema))

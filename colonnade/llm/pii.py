@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import Scratch
+from colonnade.llm.common import Scratch, neutral
 from colonnade.llm.spans import SPANS, joined, let, matches, of_kind
 
 KINDS = ("email", "ip", "card", "phone")
@@ -135,11 +135,15 @@ def counts(spans: str = "base") -> dict[str, Column]:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each span of personal data replaced by its kind in angle brackets; nulls stay null."""
-    found = find(docs, "pii-redact").select("k1", "k2", "spans").filter("size(spans) > 0").dropDuplicates(["k1", "k2"])
-    keyed = docs.withColumns({"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64("text", F.lit(1))})
-    joined_rows = keyed.join(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")), ["__k1", "__k2"], "left")
-    return joined_rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("__spans")))).select(*docs.columns)
+    """The documents with each span of personal data replaced by its kind in angle brackets; columns are those of docs.
+
+    Null texts stay null; texts without a span stay as they are.
+    """
+    frame, restored = neutral(docs)
+    found = find(frame, "pii-redact").select("k1", "k2", "spans").filter("size(spans) > 0").dropDuplicates(["k1", "k2"])
+    keyed = frame.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1))})
+    marked = keyed.join(found, ["k1", "k2"], "left")
+    return restored(marked.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("spans")))))
 
 
 def _replaced(text: Column, spans: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import prepare, text_bytes
+from colonnade.llm.common import neutral, prepare, text_bytes
 
 SAMPLE = 4000
 BITS, DIM, GRAMS = 17, 8, (2, 3, 4)
@@ -149,5 +149,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score 0.5 or more."""
-    return score(docs, fit(docs, labels)).filter("score >= 0.5").select(*docs.columns)
+    """The documents that score 0.5 or more; columns are those of docs."""
+    frame, restored = neutral(docs)
+    return restored(score(frame, fit(frame, labels)).filter("score >= 0.5"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import Scratch, text_bytes
+from colonnade.llm.common import Scratch, neutral, text_bytes
 from colonnade.llm.graph import components
 
 SEED, WORDS, RADIUS, SHARD = 42, 3, 2, 1024
@@ -206,11 +206,15 @@ def hex_fingerprint(col: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each near-duplicate group: its smallest doc_id (ties: smallest text key)."""
-    rows = near_duplicates(docs, "simhash-keep")
+    """The documents with one row of each near-duplicate group: its smallest doc_id (ties: smallest text key).
+
+    A group without any doc_id keeps one row too; of rows that repeat whole one stays. Columns are those of docs.
+    """
+    frame, restored = neutral(docs)
+    rows = near_duplicates(frame, "simhash-keep")
     group = F.struct(F.col("component_id").isNull().alias("alone"), "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
     kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
-    kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.none").alias("__none"), F.col("k.text_key").alias("__key"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull(), "__key": F.xxhash64("text")})
-    keys = ["__id", "__none", "__key"]
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.none").alias("none"), F.col("k.text_key").alias("key"))
+    keyed = frame.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull(), "key": F.xxhash64("text")})
+    keys = ["id", "none", "key"]
+    return restored(keyed.join(kept, keys, "left_semi").dropDuplicates(keys))
