@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colonnade.llm import decontaminate, license_scan, media_ogg, packing, pii, quality, secrets_scan, simhash, substring_dedup, warc
 from colonnade.llm.common import read_table
+from colonnade.llm.oracles import ORACLE_SQL
 from colonnade.llm.spans import joined
 
 
@@ -104,14 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op8_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-             d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
-             f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
-        SELECT d.page_id, n AS payload_bytes, d.digest AS payload_digest,
-               CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
-        FROM d LEFT JOIN f ON d.digest = f.digest
-    """,
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
