@@ -184,9 +184,9 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, name: str = "simhash") -> DataFrame:
-    """docs (doc_id, text) -> a row per input row: doc_id, fp, text_key (xxhash64 of the text), component_id.
+    """docs (doc_id, text) -> a row per input row: doc_id, fp, text_key (xxhash64 of the text), root, component_id.
 
-    component_id is the smallest doc_id of the group. Null text counts as empty; texts without words share
+    root is the smallest fingerprint of the group, component_id its smallest doc_id. Null text counts as empty; texts without words share
     fingerprint 0 and are linked like any others. Rows with a null doc_id take part in linking and get their
     group's id; a group of such rows alone has a null id. Repeated rows stay repeated. An empty table gives none.
     """
@@ -197,8 +197,8 @@ def near_duplicates(docs: DataFrame, name: str = "simhash") -> DataFrame:
     roots = components(fingerprint_links(firsts, scratch), scratch).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    mapped = scratch.write(rooted.join(groups, "root").select("fp", "component_id"), "mapped")
-    return rows.join(mapped, "fp").select("doc_id", "fp", "text_key", "component_id")
+    mapped = scratch.write(rooted.join(groups, "root").select("fp", "root", "component_id"), "mapped")
+    return rows.join(mapped, "fp").select("doc_id", "fp", "text_key", "root", "component_id")
 
 
 def hex_fingerprint(col: str = "fp"):
@@ -212,8 +212,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     frame, restored = neutral(docs)
     rows = near_duplicates(frame, "simhash-keep")
-    group = F.struct(F.col("component_id").isNull().alias("alone"), "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
     kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.none").alias("none"), F.col("k.text_key").alias("key"))
     keyed = frame.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull(), "key": F.xxhash64("text")})
     keys = ["id", "none", "key"]
