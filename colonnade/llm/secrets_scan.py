@@ -8,8 +8,7 @@ is a grouped sum over all candidates; the driver gets one table of ALPHABET squa
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +28,8 @@ TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}+"
 MADE = 500
 #: ASCII; tokens hold a part of it.
 ALPHABET = 128
+#: Weight of a character's own frequency against its counts after another.
+BACK_OFF = 1.0
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -49,18 +50,16 @@ def _made(spark: SparkSession) -> DataFrame:
 
 def ratio_table(samples: DataFrame) -> list[float]:
     """samples (token, random) -> for each pair of characters, by first * ALPHABET + second, the log ratio of its
-    probabilities after the first; with one added to each count."""
+    probabilities after the first. Both models back off to their frequencies of the second character alone."""
     chars = F.split("token", "")
     pairs = samples.select("random", F.explode(let(chars, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.ascii(F.get(c, i - 1)) * ALPHABET + F.ascii(F.get(c, i))))).alias("pair"))
-    counts = {(r.random, r.pair): r.n for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
-    totals: dict[tuple[bool, int], int] = {}
-    for (label, pair), n in counts.items():
-        totals[label, pair // ALPHABET] = totals.get((label, pair // ALPHABET), 0) + n
-
-    def log_p(label: bool, pair: int) -> float:
-        return math.log((counts.get((label, pair), 0) + 1) / (totals.get((label, pair // ALPHABET), 0) + 64))
-
-    return [log_p(True, pair) - log_p(False, pair) for pair in range(ALPHABET * ALPHABET)]
+    counts = np.zeros((2, ALPHABET, ALPHABET))
+    for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect():  # at most 2 * ALPHABET ** 2 rows
+        counts[int(r.random), r.pair // ALPHABET, r.pair % ALPHABET] = r.n
+    alone = counts.sum(axis=1) + 0.5
+    alone /= alone.sum(axis=1, keepdims=True)
+    after = (counts + BACK_OFF * alone[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACK_OFF)
+    return (np.log(after[1]) - np.log(after[0])).ravel().tolist()
 
 
 def mean_ratio(token: Column, table: list[float]) -> Column:
