@@ -2,7 +2,7 @@
 
 import brute
 import pytest
-from conftest import CLASHING, ITEMS, TEXTS
+from odd_rows import CLASHING, ITEMS, TEXTS
 
 import corpus_pipeline
 from colonnade.llm import quality
@@ -23,7 +23,7 @@ def test_stage_order():
 def test_quality_keeps_what_scores_half(spark, odd, odd_dir):
     labels = spark.read.parquet(f"{odd_dir}/labels.parquet")
     model = quality.fit(odd, labels)
-    plain = sorted([(i, t) for i, t in TEXTS if model.score((t or "").encode()) >= 0.5], key=repr)
+    plain = sorted([(i, t) for i, t in TEXTS if model.scores([(t or "").encode()])[0] >= 0.5], key=repr)
     assert rows(STAGES["quality"](spark, odd, odd_dir)) == plain
 
 

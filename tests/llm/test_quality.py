@@ -11,32 +11,35 @@ def test_separable_texts_are_learned():
     good, bad = ["river", "house", "under", "stone", "light"], ["xx%%", "zz$$", "buy!!", "QQQ"]
 
     def example(words, label):
-        counts: dict[int, float] = {}
-        for w in rng.choice(words, 40):
-            for f in quality.features(w.encode()):
-                counts[f] = counts.get(f, 0) + 1
-        total = sum(counts.values())
-        return np.array(list(counts)), np.array([c / total for c in counts.values()], np.float32), label
+        return *quality.shares_of(" ".join(rng.choice(words, 40)).encode()), label
 
     model = quality.Model(*quality.train([example(good, 1) for _ in range(40)] + [example(bad, 0) for _ in range(40)]))
-    assert model.score(b"stone house river") > 0.9 > 0.1 > model.score(b"buy!! zz$$ xx%%")
-    assert model.score(b"stones housed") > 0.5  # by their character n-grams
-    assert 0 <= model.score(b"") <= 1
+    fine, bad_one, unseen, empty = model.scores([b"stone house river " * 30, b"buy!! zz$$ xx%% " * 30, b"stones housed " * 30, b""])
+    assert fine > 0.9 > 0.1 > bad_one and unseen > 0.5 and 0 <= empty <= 1  # unseen by their character n-grams
+
+
+def test_features_are_those_of_each_word():
+    ids, owners = quality.features([b"ab", b"", b"abab"])
+    for k, w in enumerate([b"ab", b"", b"abab"]):
+        alone, _ = quality.features([w])
+        assert sorted(ids[owners == k]) == sorted(alone) and len(alone) == 1 + sum(max(0, len(w) + 3 - n) for n in quality.GRAMS)
+    assert quality.words_of(b"a a b a a a") == [b"a", quality.SAME, b"b", b"a", quality.SAME, quality.SAME]
 
 
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
-    assert model.score(b"a") == 0.5
+    assert model.scores([b"a"]) == [0.5]
 
 
 def test_the_cache_changes_nothing(monkeypatch):
     rng = np.random.default_rng(2)
     weights = rng.normal(size=1 << quality.BITS).astype(np.float32)
     text = " ".join(f"w{i % 37}" for i in range(500)).encode()
-    whole = quality.Model(weights, 0.1).score(text)
+    (whole,) = quality.Model(weights, 0.1).scores([text])
     monkeypatch.setattr(quality, "_CACHE", 3)
-    assert quality.Model(weights, 0.1).score(text) == pytest.approx(whole)
+    model = quality.Model(weights, 0.1)
+    assert [model.scores([t])[0] for t in (text, b"x", text)][2] == pytest.approx(whole)
 
 
 def test_held_out_accuracy(spark):

@@ -4,7 +4,7 @@ import zlib
 
 import brute
 import pytest
-from conftest import ITEMS, TEXTS
+from odd_rows import ITEMS, TEXTS
 
 import corpus_pipeline
 from colonnade.llm.queries import QUERIES
