@@ -186,11 +186,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gr
     mixed = marked.filter("mixed").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "c")).alias("spans"))
     # rows that share a key compare their windows too: they are joined, not merged
     windows = scratch.write(bodies.join(mixed, ["k1", "k2"]).mapInArrow(_window_rows(window), "k1 long, k2 long, h long, w long, a int"), "windows")
-    twice = windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
+    # written, so that the join below deals both sides anew and can split a passage that very many texts share
+    twice = scratch.write(windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"), "twice")
     single = windows.join(twice, ["h", "w"]).select("k1", "k2", "a", F.lit(1).alias("c"))
     ranges = marked.filter("whole").select("k1", "k2", "a", "c").union(single)
     out = scratch.write(ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "c")).alias("ranges")), "ranges")
-    scratch.drop("marked", "windows")
+    scratch.drop("marked", "windows", "twice")
     return out
 
 
