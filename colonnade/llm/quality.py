@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings, learned from labelled rows with numpy.
 
 A document is the mean of learned vectors, one for each hashed word and each hashed character n-gram of its
-words; a softmax over two classes gives the score. Training sees at most SAMPLE labelled documents (those with the
-smallest hash of doc_id, whole texts), so the driver's part is bounded; scoring reads every text in full. Since
-the output is linear in the vectors, each hashed feature is folded into one number before it is broadcast:
-2**BITS floats, whatever the input.
+words; a softmax over two classes gives the score. A word that repeats the one before it counts as the mark SAME, so that
+repetition is learned whatever is repeated; and each text holds PAD copies of a padding feature, so that the few
+words of a short text don't decide alone. Training sees at most SAMPLE labelled documents (those with the smallest hash
+of doc_id, whole texts), so the driver's part is bounded; scoring reads every text in full. Since the output is linear in
+the vectors, each hashed feature is folded into one number before it is broadcast: 2**BITS floats, whatever the input.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +25,44 @@ from colonnade.llm.common import neutral, prepare, text_bytes
 SAMPLE = 4000
 BITS, DIM, GRAMS = 17, 8, (2, 3, 4)
 EPOCHS, RATE, SEED = 12, 0.5, 7
+SAME, PAD, PAD_ID = b"\x00=", 60, 0
 #: Distinct words that a worker remembers between texts; beyond it starts afresh.
-_CACHE = 150_000
+_CACHE = 200_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(word: bytes, bits: int = BITS) -> list[int]:
-    """Hashed ids of a word and of its character n-grams."""
-    w, crc, mask = b"<" + word + b">", zlib.crc32, (1 << bits) - 1
-    out = [crc(w, 1) & mask]
+def words_of(text: bytes) -> list[bytes]:
+    """Words at ASCII white space; one that equals the word before it is SAME."""
+    words = text.split()
+    return [SAME if a == b else a for a, b in zip(words, chain((None,), words))]  # noqa: B905
+
+
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed ids of the words and of their character n-grams, and for each the number of the word it comes from."""
+    data = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    owner, ends = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
+    left = ends[owner] - np.arange(len(data))
+    ids = [np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % ((1 << BITS) - 1) + 1]
+    owners = [np.arange(len(words))]
     for n in GRAMS:
-        out += [crc(w[i : i + n]) & mask for i in range(len(w) - n + 1)]
-    return out
+        key = np.full(max(0, len(data) - n + 1), n << 40, np.uint64)
+        for k in range(n):
+            key |= data[k : len(data) - n + 1 + k] << np.uint64(8 * k)
+        inside = left[: len(key)] >= n
+        ids.append((((key * _SPREAD) >> np.uint64(40)).astype(np.int64) % ((1 << BITS) - 1) + 1)[inside])
+        owners.append(owner[: len(key)][inside])
+    return np.concatenate(ids), np.concatenate(owners)
+
+
+def shares_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's feature ids, and the share that each has of all its features."""
+    counts = Counter(words_of(text))
+    ids, owners = features(list(counts)) if counts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    weights = np.bincount(ids, np.fromiter(counts.values(), float, len(counts))[owners], minlength=1) if counts else np.zeros(1)
+    weights[PAD_ID] = PAD
+    found = np.flatnonzero(weights)
+    return found, (weights[found] / weights.sum()).astype(np.float32)
 
 
 def in_training(doc_id: str | Column = "doc_id") -> Column:
@@ -43,16 +72,9 @@ def in_training(doc_id: str | Column = "doc_id") -> Column:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, shares = [], []
-        for text in batch.column("body").to_pylist():
-            counts: Counter = Counter()
-            for word, n in Counter(text.split()).items():
-                for f in features(word):
-                    counts[f] += n
-            total = sum(counts.values())
-            ids.append(list(counts))
-            shares.append([c / total for c in counts.values()])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "shares"])
+        made = [shares_of(t) for t in batch.column("body").to_pylist()]
+        ids, shares = pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), ids, shares], names=["doc_id", "label", "ids", "shares"])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
@@ -92,19 +114,21 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _word(self, word: bytes) -> complex:
-        ids = features(word)
-        if len(self.known) >= _CACHE:
-            self.known.clear()
-        out = self.known[word] = complex(float(self.weights[ids].sum()), len(ids))
-        return out
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember each word's sum of weights (real part) and number of features (imaginary part)."""
+        ids, owners = features(words)
+        sums, counts = np.bincount(owners, self.weights[ids], minlength=len(words)), np.bincount(owners, minlength=len(words))
+        self.known.update(zip(words, (sums + 1j * counts).tolist(), strict=True))
 
-    def score(self, text: bytes) -> float:
-        known, total = self.known, 0j
-        for word in text.split():
-            total += known[word] if word in known else self._word(word)
-        logit = self.bias + (total.real / total.imag if total else 0.0)
-        return float(1 / (1 + np.exp(-logit)))
+    def scores(self, texts: list[bytes]) -> list[float]:
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        split = [words_of(t) for t in texts]
+        if unseen := list(set().union(*split).difference(self.known)):
+            self._learn(unseen)
+        get, pad = self.known.__getitem__, PAD * float(self.weights[PAD_ID])
+        totals = np.array([sum(map(get, words), 0j) for words in split], complex)
+        return (1 / (1 + np.exp(-(self.bias + (totals.real + pad) / (totals.imag + PAD))))).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -122,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = []
     for i in np.argsort(got.column("doc_id").to_numpy(), kind="stable"):
         ids = np.asarray(got.column("ids")[i].values, dtype=np.int64)
-        if len(ids):
+        if len(ids) > 1:  # more than padding
             rows.append((ids, np.asarray(got.column("shares")[i].values, dtype=np.float32), got.column("label")[i].as_py()))
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
@@ -140,7 +164,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = shared.value
         for batch in batches:
-            scores = [mine.score(t) for t in batch.column("body").to_pylist()]
+            scores = mine.scores(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*inner, "score"])
 
     frame = docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(kept, inner, strict=True)), text_bytes(docs["text"]).alias("body"))
