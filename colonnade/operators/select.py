@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.errors import InvalidRequest, NotSupported
 from colonnade.functions import scalars
 from colonnade.lang import nodes as n
-from colonnade.operators.predicates import compare, order_key, relation, token_of
+from colonnade.operators.predicates import TOKEN, compare, order_key, relation, token_of
 from colonnade.plans.catalog import Catalog, Table
 from colonnade.plans.restrictions import Restrictions, analyse, check_select, reversed_order
 from colonnade.plans.terms import Terms, conversion
@@ -33,8 +33,15 @@ class Source:
     frame: DataFrame
 
 
-def select(spark: SparkSession, s: n.Select, source: Source, terms: Terms, catalog: Catalog) -> DataFrame:
-    table = source.table
+@dataclass
+class SelectPlan:
+    restrictions: Restrictions
+    turned: bool
+    limit: int | None
+
+
+def plan(s: n.Select, table: Table, terms: Terms) -> SelectPlan:
+    """What a SELECT restricts; raises if it may not run."""
     if s.transform == "json":
         raise NotSupported("SELECT JSON is not supported")
     if s.group_by:
@@ -43,8 +50,11 @@ def select(spark: SparkSession, s: n.Select, source: Source, terms: Terms, catal
         raise NotSupported("PER PARTITION LIMIT is not supported")
     r = analyse(s.where, table, terms)
     check_select(s, r, table)
-    turned = reversed_order(s, r, table) if s.order_by else False
-    limit = row_limit(s, terms)
+    return SelectPlan(r, reversed_order(s, r, table) if s.order_by else False, row_limit(s, terms))
+
+
+def select(spark: SparkSession, s: n.Select, planned: SelectPlan, source: Source, terms: Terms, catalog: Catalog) -> DataFrame:
+    table, r, turned, limit = source.table, planned.restrictions, planned.turned, planned.limit
     df = filtered(source.frame, r, table, terms)
     if s.selected is not None and any(isinstance(x.selector, n.CountSelector) for x in s.selected):
         label = s.selected[0].alias or "count"
@@ -206,11 +216,12 @@ def merged(rows: DataFrame, statics: DataFrame | None, table: Table, now_ms: int
     if ROW_EXPIRES in rows.columns:
         rows = rows.filter(F.col(ROW_EXPIRES).isNull() | (F.col(ROW_EXPIRES) > now_ms))
     if statics is not None:
-        rows = rows.join(statics, [c.name for c in table.partition], "full_outer")
+        # the token is a function of the key, so joining by it too changes nothing
+        rows = rows.join(statics, [*(c.name for c in table.partition), TOKEN], "full_outer")
     if expire_cells:
         live = {c.name: F.when(F.col(f"`{EXPIRES}{c.name}`").isNull() | (F.col(f"`{EXPIRES}{c.name}`") > now_ms), F.col(f"`{c.name}`")) for c in (*table.regulars, *table.statics)}
         rows = rows.withColumns(live)
     return rows
 
 
-__all__ = ["Source", "Window", "by_token", "merged", "select"]
+__all__ = ["SelectPlan", "Source", "by_token", "merged", "plan", "select"]

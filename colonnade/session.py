@@ -16,12 +16,12 @@ from colonnade.functions import timeuuid
 from colonnade.lang import nodes as n
 from colonnade.lang.parser import Parser
 from colonnade.operators import mutate
-from colonnade.operators.select import Source, by_token, merged, select
+from colonnade.operators.select import Source, by_token, merged, plan, select
 from colonnade.plans.catalog import SYSTEM, Catalog, Column, Keyspace, Table
 from colonnade.plans.terms import Terms
 from colonnade.plans.types import UNSET, CqlType
 from colonnade.sources import system
-from colonnade.sources.store import Store, scratch_path
+from colonnade.sources.store import SHARDS, Store, scratch_path
 
 #: Keys with buffered changes beyond which a table's buffer is taken in, and prepared statements that are kept.
 MAX_BUFFERED_KEYS, MAX_PREPARED = 10_000, 1024
@@ -42,10 +42,11 @@ class Session:
 
     path: where the catalog and snapshots are kept; without it, a folder of the session's own beside the cluster's
     checkpoints, which executors share. clock: milliseconds since 1970, for tests. expire_cells: also hide single expired cells.
-    token_order: sort full scans by token, which the language implies but which costs a global sort.
+    token_order: sort full scans by token, which the language implies but which costs a global sort. shards: parts of
+    new tables that are renewed one by one.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, clock: Callable[[], int] | None = None, expire_cells: bool = False, token_order: bool = False):
+    def __init__(self, spark: SparkSession, path: str | None = None, clock: Callable[[], int] | None = None, expire_cells: bool = False, token_order: bool = False, shards: int = SHARDS):
         # a session of its own: wrapping 64-bit arithmetic, NULL for what has no value, the last of equal map keys
         self.spark = spark.newSession()
         for key, value in (("spark.sql.ansi.enabled", "false"), ("spark.sql.mapKeyDedupPolicy", "LAST_WIN"), ("spark.sql.session.timeZone", "UTC")):
@@ -55,7 +56,7 @@ class Session:
         self.clock = clock or (lambda: time.time_ns() // 1_000_000)
         self.generator = timeuuid.Generator()
         self.expire_cells, self.token_order = expire_cells, token_order
-        self.store = Store(self.spark, path or scratch_path(spark))
+        self.store = Store(self.spark, path or scratch_path(spark), shards)
         self.catalog = self.store.load_catalog()
         self.current: str | None = None
         self.mounts: dict[str, DataFrame] = {}
@@ -157,22 +158,22 @@ class Session:
 
     def _select(self, s: n.Select, terms: Terms) -> DataFrame:
         space = self._space(s.table)
+        table = self._table(s.table)
+        terms.table = table
+        planned = plan(s, table, terms)
         if space in SYSTEM:
-            self._table(s.table)
-            table, frame = system.frame(self.spark, f"{space}.{s.table.name}", self.catalog)
+            _, frame = system.frame(self.spark, table.full_name, self.catalog)
         else:
-            table = self._table(s.table)
-            frame = self.frame(table, terms.now_ms)
-        terms.table = table
-        out = select(self.spark, s, Source(table, frame), terms, self.catalog)
-        return out
+            frame = self.frame(table, terms.now_ms, planned.restrictions.partitions)
+        return select(self.spark, s, planned, Source(table, frame), terms, self.catalog)
 
-    def frame(self, table: Table, now_ms: int | None = None) -> DataFrame:
-        """A table's live rows, static columns merged in."""
+    def frame(self, table: Table, now_ms: int | None = None, partitions: list[tuple] | None = None) -> DataFrame:
+        """A table's live rows, static columns merged in; with partitions, at least theirs."""
         if table.mounted:
             return self.mounts[table.full_name]
         self.flush(table)
-        rows, statics = self.store.read(table)
+        shards = None if partitions is None else self.store.shards_of(table, partitions)
+        rows, statics = self.store.read(table, shards)
         out = merged(rows, statics, table, self.clock() if now_ms is None else now_ms, self.expire_cells)
         return by_token(out, table) if self.token_order else out
 
@@ -201,9 +202,10 @@ class Session:
         segments = [x for x in self.buffers.pop(table.full_name, []) if x.rows or x.statics or x.erased is not None]
         if not segments:
             return
-        rows, statics = self.store.read(table)
+        shards = self.store.shards_of(table, [k for x in segments for k in x.keys()])
+        rows, statics = self.store.read(table, shards)
         rows, statics = mutate.take_in(self.spark, table, rows, statics, segments, self._terms(()))
-        self.store.write(table, rows, statics)
+        self.store.write(table, rows, statics, shards)
 
     def apply_changes(self, name: str, changes: DataFrame) -> None:
         """Upsert a DataFrame of whole rows by key: one keyed merge, however many rows. Keys must be unique in it.
@@ -213,8 +215,10 @@ class Session:
         space, _, table_name = name.partition(".")
         table = self._table(n.TableName(space, table_name), write=True)
         self.flush(table)
-        rows, statics = self.store.read(table)
-        self.store.write(table, mutate.upsert(table, rows, changes, self.clock() * 1000), statics)
+        keyed = mutate.tokens_of(table, changes)
+        shards = {r[0] for r in keyed.select(self.store.shard_column(table, F.col(mutate.TOKEN))).distinct().collect()}  # at most the number of shards
+        rows, statics = self.store.read(table, shards)
+        self.store.write(table, mutate.upsert(table, rows, keyed, self.clock() * 1000), statics, shards)
 
     # definitions ------------------------------------------------------------------------------------------
 

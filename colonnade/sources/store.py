@@ -1,4 +1,4 @@
-"""Snapshots of tables: versioned Parquet folders, and a pointer that a rename moves.
+"""Snapshots of tables: versioned Parquet folders by shard, and a pointer that a rename moves.
 
 Files are reached through the file systems that Spark knows, so a store can lie wherever executors can read.
 """
@@ -9,11 +9,17 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from colonnade.functions.token import token
 from colonnade.operators.mutate import empty_rows, stored_schema
+from colonnade.operators.predicates import TOKEN
 from colonnade.plans.catalog import Catalog, Table
 
+#: Shards of a new table, and the column that deals rows to them.
+SHARDS, SHARD = 8, "_shard"
+
 
 def scratch_path(spark: SparkSession) -> str:
     """A new folder beside the cluster's checkpoints, or where none are set up a temporary one."""
@@ -53,14 +59,25 @@ class Files:
         how[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(fresh, shown, how)
 
+    def names(self, path: str) -> list[str]:
+        """What lies in a folder; nothing if there is none."""
+        fs, shown = self._at(path)
+        return [x.getPath().getName() for x in fs.listStatus(shown)] if fs.exists(shown) else []
+
     def delete(self, path: str) -> None:
         fs, shown = self._at(path)
         fs.delete(shown, True)
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark)
+    """Tables in shards by token, so that a write renews only the shards its keys are in, and a read of known
+    partitions opens only theirs. A table's pointer names the version of each shard.
+
+    What a write replaces stays for one write more, so that results which nothing has evaluated yet can still be read.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, shards: int = SHARDS):
+        self.spark, self.files, self.shards = spark, Files(spark), shards
         self.root = root.rstrip("/") if "://" in root or root.startswith("file:") else f"file://{root.rstrip('/')}"
 
     # catalog ----------------------------------------------------------------------------------------------
@@ -77,31 +94,48 @@ class Store:
     def _base(self, table: Table) -> str:
         return f"{self.root}/{table.keyspace}/{table.name}"
 
-    def _version(self, table: Table) -> str | None:
+    def _pointer(self, table: Table) -> dict:
         text = self.files.read(f"{self._base(table)}/CURRENT")
-        return json.loads(text)["version"] if text else None
+        return json.loads(text) if text else {"shards": self.shards, "rows": {}, "statics": {}, "stale": []}
+
+    def shards_of(self, table: Table, keys: list[tuple]) -> set[int]:
+        """The shards that hold partitions."""
+        kinds, count = [c.type for c in table.partition], self._pointer(table)["shards"]
+        return {token(list(k[: len(kinds)]), kinds) % count for k in keys}
+
+    def shard_column(self, table: Table, of: Column) -> Column:
+        return F.pmod(of, F.lit(self._pointer(table)["shards"])).cast("int")
 
-    def read(self, table: Table) -> tuple[DataFrame, DataFrame | None]:
-        """Rows, and static cells if the table has such columns. Columns added since are NULL, dropped ones unread."""
-        version = self._version(table)
+    def read(self, table: Table, shards: set[int] | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """Rows, and static cells if the table has such columns, of some shards or all. Columns added since are NULL,
+        dropped ones unread."""
+        pointer = self._pointer(table)
 
         def part(name: str, static: bool) -> DataFrame:
-            if version is None:
+            held = {int(k): v for k, v in pointer[name].items()}
+            paths = [f"{self._base(table)}/{v}/{name}/{SHARD}={k}" for k, v in sorted(held.items()) if shards is None or k in shards]
+            if not paths:
                 return empty_rows(self.spark, table, static)
-            return self.spark.read.schema(stored_schema(table, static)).parquet(f"{self._base(table)}/{version}/{name}")
+            return self.spark.read.schema(stored_schema(table, static)).parquet(*paths)
 
         return part("rows", False), part("statics", True) if table.statics else None
 
-    def write(self, table: Table, rows: DataFrame, statics: DataFrame | None) -> None:
-        """A new snapshot, sorted by token and clustering key within its files, then the pointer."""
-        old, version = self._version(table), uuid.uuid4().hex
-        order = ["_token", *(c.name for c in table.clustering)]
-        base = f"{self._base(table)}/{version}"
-        rows.sortWithinPartitions(*(f"`{c}`" for c in order)).write.parquet(f"{base}/rows")
-        (statics if statics is not None else empty_rows(self.spark, table, True)).write.parquet(f"{base}/statics")
-        self.files.replace(f"{self._base(table)}/CURRENT", json.dumps({"version": version}))
-        if old:
-            self.files.delete(f"{self._base(table)}/{old}")
+    def write(self, table: Table, rows: DataFrame, statics: DataFrame | None, shards: set[int] | None = None) -> None:
+        """Renew some shards or all: files sorted by token and clustering key, then the pointer."""
+        pointer, version, base = self._pointer(table), uuid.uuid4().hex, self._base(table)
+        old_stale, stale = pointer["stale"], []
+        for name, frame in (("rows", rows), ("statics", statics)):
+            if frame is not None:
+                order = [SHARD, TOKEN, *((c.name for c in table.clustering) if name == "rows" else ())]
+                dealt = frame.withColumn(SHARD, self.shard_column(table, F.col(TOKEN))).repartition(SHARD)
+                dealt.sortWithinPartitions(*(f"`{c}`" for c in order)).write.partitionBy(SHARD).parquet(f"{base}/{version}/{name}")
+            replaced = {k for k in pointer[name] if shards is None or int(k) in shards}
+            stale += [f"{base}/{pointer[name].pop(k)}/{name}/{SHARD}={k}" for k in replaced]
+            pointer[name] |= {x.partition("=")[2]: version for x in self.files.names(f"{base}/{version}/{name}") if x.startswith(f"{SHARD}=")}
+        pointer["stale"] = stale
+        self.files.replace(f"{base}/CURRENT", json.dumps(pointer))
+        for path in old_stale:
+            self.files.delete(path)
 
     def drop(self, table: Table) -> None:
         self.files.delete(self._base(table))
