@@ -358,3 +358,40 @@ def test_streams_upsert(db, tmp_path):
     stream = db.spark.readStream.schema("k long, v long, at long").parquet(str(tmp_path / "in"))
     upsert_stream(db, "ks.st", stream, order="at").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(rows(db, "SELECT k, v FROM st")) == [(1, 99), (2, 20), (3, 30)]
+
+
+def test_known_partitions_open_only_their_shards(spark, tmp_path):
+    db = Session(spark, str(tmp_path), shards=16)
+    run(db, "CREATE KEYSPACE w", "CREATE TABLE w.t (k int PRIMARY KEY, v int)", *(f"INSERT INTO w.t (k, v) VALUES ({k}, {k})" for k in range(40)))
+    assert len(rows(db, "SELECT * FROM w.t")) == 40
+    assert len(db.execute("SELECT * FROM w.t WHERE k = 7").inputFiles()) == 1
+    assert len(db.execute("SELECT * FROM w.t WHERE k IN (7, 8, 9)").inputFiles()) <= 3
+    before = set(db.execute("SELECT * FROM w.t").inputFiles())
+    run(db, "UPDATE w.t SET v = 70 WHERE k = 7")
+    after = set(db.execute("SELECT * FROM w.t").inputFiles())
+    assert len(before - after) == 1 and rows(db, "SELECT v FROM w.t WHERE k = 7") == [(70,)]
+    run(db, "DELETE FROM w.t WHERE k IN (7, 8)")
+    assert len(rows(db, "SELECT * FROM w.t")) == 38
+
+
+def test_results_outlive_the_next_write(db):
+    run(db, "CREATE TABLE r (k int PRIMARY KEY, v int)", "INSERT INTO r (k, v) VALUES (1, 1)")
+    pending = db.execute("SELECT * FROM r")
+    run(db, "UPDATE r SET v = 2 WHERE k = 1")
+    assert rows(db, "SELECT v FROM r") == [(2,)]
+    assert [tuple(x) for x in pending.collect()] == [(1, 1)]
+
+
+def test_null_keys_restrict_nothing(db):
+    run(db, "CREATE TABLE nk (k int PRIMARY KEY, v int)", "INSERT INTO nk (k, v) VALUES (1, 1)")
+    assert rows(db, "SELECT k FROM nk WHERE k = null") == [(1,)]
+    assert rows(db, "SELECT k FROM nk WHERE k IN (null, 1)") == [(1,)]
+    assert rows(db, "SELECT k FROM nk WHERE v != null ALLOW FILTERING") == []
+
+
+def test_bulk_changes_merge_by_key(db):
+    run(db, "CREATE TABLE bk (k text, c int, v int, w text, PRIMARY KEY (k, c))", "INSERT INTO bk (k, c, v, w) VALUES ('a', 1, 1, 'old') USING TTL 100", "INSERT INTO bk (k, c, v) VALUES ('z', 9, 9)")
+    changes = db.spark.createDataFrame([("a", 1, 5), ("b", 2, 6), ("a", 3, None)], "k string, c int, v int")
+    db.apply_changes("ks.bk", changes)
+    assert sorted(rows(db, "SELECT k, c, v, w FROM bk")) == [("a", 1, 5, "old"), ("a", 3, None, None), ("b", 2, 6, None), ("z", 9, 9, None)]
+    assert rows(db, "SELECT ttl(v), ttl(w) FROM bk WHERE k = 'a' AND c = 1") == [(None, 100)]
