@@ -20,9 +20,8 @@ from colonnade.plans.types import INTEGER_BITS, CqlType
 ORDINAL = "_ordinal"
 #: Columns beside a table's own: writing time and expiry of a cell, expiry of a row.
 WRITTEN, EXPIRES, ROW_EXPIRES = "_wt$", "_ex$", "_row_exp"
-#: Up to so many listed keys also go to the scan as a filter, and their frame is small enough to broadcast.
+#: Up to so many listed keys their frame is small enough to broadcast; the scan is filtered by them in any case.
 MAX_BROADCAST_KEYS = 10_000
-MAX_PUSHED_KEYS = 1_000
 
 
 @dataclass
@@ -156,17 +155,13 @@ def selector(sel: object, table: Table, terms: Terms, catalog: Catalog, availabl
             raise InvalidRequest("CAST is only supported between basic types")
         numbers = {found.type.name, target.name} <= INTEGER_BITS.keys() | {"blob"} and "blob" in (found.type.name, target.name)
         col = F.col(f"`{found.name}`")
-        out = convert_cast(col, found.type, target) if numbers or found.type == target else F.lit(None).cast(target.spark())
+        out = scalars.convert(col, found.type, target) if numbers or found.type == target else F.lit(None).cast(target.spark())
         return out, target, f"cast({found.name} as {target.name})"
     if isinstance(sel, n.CallSelector):
         return call(sel, table, terms, catalog, available)
     raise InvalidRequest("Bare term expressions in SELECT clause are not supported")
 
 
-def convert_cast(col: Column, source: CqlType, target: CqlType) -> Column:
-    return scalars.convert(col, source, target)
-
-
 def call(sel: n.CallSelector, table: Table, terms: Terms, catalog: Catalog, available: list[str]) -> tuple[Column, CqlType, str]:
     name = sel.name.lower()
     if name in ("ttl", "writetime"):

@@ -215,7 +215,7 @@ def test_partitions_in_listed_order(db):
 
 
 def test_counters(db):
-    run(db, "CREATE TABLE n (k int PRIMARY KEY, c counter)", "UPDATE n SET c = c + 5 WHERE k = 1", "UPDATE n SET c = c - 2 WHERE k = 1", "UPDATE n SET c = c + ? WHERE k = 2" if False else "UPDATE n SET c = c + 1 WHERE k = 2")
+    run(db, "CREATE TABLE n (k int PRIMARY KEY, c counter)", "UPDATE n SET c = c + 5 WHERE k = 1", "UPDATE n SET c = c - 2 WHERE k = 1", "UPDATE n SET c = c + 1 WHERE k = 2")
     assert sorted(rows(db, "SELECT k, c FROM n")) == [(1, 3), (2, 1)]
     for bad in ("INSERT INTO n (k, c) VALUES (1, 1)", "UPDATE n SET c = 5 WHERE k = 1", "UPDATE n SET c = c + null WHERE k = 1", "CREATE TABLE x (k int PRIMARY KEY, c counter, v int)", "CREATE TABLE x (k counter PRIMARY KEY)", "SELECT k FROM n WHERE c = null ALLOW FILTERING"):
         with pytest.raises(InvalidRequest):
