@@ -17,7 +17,7 @@ from colonnade.lang import nodes as n
 from colonnade.lang.parser import Parser
 from colonnade.operators import mutate
 from colonnade.operators.select import Source, by_token, merged, plan, select
-from colonnade.plans.catalog import SYSTEM, Catalog, Column, Keyspace, Table
+from colonnade.plans.catalog import SYSTEM, Column, Keyspace, Table
 from colonnade.plans.terms import Terms
 from colonnade.plans.types import UNSET, CqlType
 from colonnade.sources import system
