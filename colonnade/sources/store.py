@@ -22,9 +22,14 @@ SHARDS, SHARD = 8, "_shard"
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder beside the cluster's checkpoints, or where none are set up a temporary one."""
+    """A new folder beside the cluster's checkpoints, or where none are set up a temporary one; it goes with the application."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="colonnade-tables-")
+    path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='colonnade-tables-')}"
+    shown = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = shown.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(shown)
+    fs.deleteOnExit(shown)
+    return path
 
 
 class Files:
