@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.llm.common import Scratch, neutral
-from colonnade.llm.spans import SPANS, joined, let, matches, of_kind
+from colonnade.llm.spans import SPANS, blanked, joined, let, matches, of_kind, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT = 3, 0.8, 5
@@ -100,8 +100,7 @@ def find(docs: DataFrame, name: str = "pii") -> DataFrame:
     scratch = Scratch(docs.sparkSession, name)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
-    found = rows.withColumns({k: base_spans(text, k) for k in KINDS} | {"mentions": matches(text, MENTION)})
-    overlap = lambda m: F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    found = rows.withColumns({k: base_spans(text, k) for k in KINDS})
     base = found.withColumn("base", F.concat(*(of_kind(k, F.col(k)) for k in KINDS)))
     kept = base.select(
         "doc_id",
@@ -109,7 +108,7 @@ def find(docs: DataFrame, name: str = "pii") -> DataFrame:
         "k2",
         "base",
         F.concat(*(_contexts(k, text, F.col(k)) for k in KINDS)).alias("seeds"),
-        _contexts("", text, F.filter("mentions", lambda m: ~overlap(m))).alias("others"),
+        _contexts("", text, matches(blanked(text, F.col("base")), MENTION)).alias("others"),
     )
     table = scratch.write(kept, "base")
     seeds = table.select(F.explode("seeds").alias("s")).select("s.*").filter("pattern != ''")
@@ -143,26 +142,7 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(frame, "pii-redact").select("k1", "k2", "spans").filter("size(spans) > 0").dropDuplicates(["k1", "k2"])
     keyed = frame.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1))})
     marked = keyed.join(found, ["k1", "k2"], "left")
-    return restored(marked.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("spans")))))
-
-
-def _replaced(text: Column, spans: Column) -> Column:
-    """Overlapping spans are replaced as one, under the kind of the first."""
-
-    def merged(ordered: Column) -> Column:
-        """Each span cut to what no earlier one covers."""
-        ends = F.transform(ordered, lambda s: s["end"])
-        return F.filter(F.transform(ordered, lambda s, i: F.struct(s["kind"].alias("kind"), F.greatest(s["start"], F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0))).alias("start"), s["end"].alias("end"))), lambda s: s["start"] < s["end"])
-
-    def parts(clean: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            before = F.when(i == 0, F.lit(0)).otherwise(F.get(clean, i - 1)["end"])
-            return F.concat(F.substring(text, (before + 1).cast("int"), (s["start"] - before).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
-
-        return F.concat(F.array_join(F.transform(clean, piece), ""), F.substring(text, (F.get(clean, F.size(clean) - 1)["end"] + 1).cast("int"), F.length(text)))
-
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return let(by_start, lambda o: let(merged(o), parts))
+    return restored(marked.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))))))
 
 
 __all__ = ["KINDS", "base_spans", "counts", "find", "joined", "redact"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm.common import Scratch
-from colonnade.llm.spans import SPANS, joined, let, matches, of_kind
+from colonnade.llm.spans import SPANS, blanked, joined, let, matches, of_kind
 
 KINDS = ("assign", "access", "hex", "random")
 PATTERNS = {
@@ -85,11 +85,11 @@ def find(docs: DataFrame, name: str = "secrets") -> DataFrame:
     scratch = Scratch(spark, name)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
-    found = rows.withColumns({k: base_spans(text, k) for k in PATTERNS} | {"tokens": matches(text, TOKEN)})
-    covered = F.concat(*PATTERNS)
+    found = rows.withColumns({k: base_spans(text, k) for k in PATTERNS})
+    found = found.withColumn("base", F.concat(*(of_kind(k, F.col(k)) for k in PATTERNS)))
     values = F.concat(F.transform("assign", lambda m: F.regexp_extract(m["text"], PATTERNS["assign"], 1)), *(F.transform(k, lambda m: m["text"]) for k in ("access", "hex")))
-    free = F.filter("tokens", lambda t: ~F.exists(covered, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    table = scratch.write(found.select("doc_id", "k1", "k2", F.concat(*(of_kind(k, F.col(k)) for k in PATTERNS)).alias("base"), F.array_distinct(values).alias("values"), free.alias("tokens")), "base")
+    free = matches(blanked(text, F.col("base")), TOKEN)
+    table = scratch.write(found.select("doc_id", "k1", "k2", "base", F.array_distinct(values).alias("values"), free.alias("tokens")), "base")
     tokens = table.select("k1", "k2", F.explode("tokens").alias("t")).select("k1", "k2", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.text").alias("token"))
     random = table.select(F.explode("values").alias("token"), F.lit(True).alias("random")).filter(~_is_ordinary(F.col("token")) & F.col("token").rlike(f"^[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}$"))
     ordinary = tokens.filter(_is_ordinary(F.col("token"))).select("token", F.lit(False).alias("random"))

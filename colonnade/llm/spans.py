@@ -29,27 +29,26 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"{WORD_CHAR}++"), F.lit(0)))
 
 
-def _total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+def _running(numbers: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The members up to each joined; in blocks of about the root of their number, so long lists stay cheap."""
 
-
-def running_sums(numbers: Column) -> Column:
-    """Sums of the first 1, 2, ... members; in blocks of about the root of their number, so long lists stay cheap."""
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: join(a, x))
 
     def blocked(xs: Column) -> Column:
         n = F.size(xs)
-        return let(F.ceil(F.sqrt(n)).cast("int"), lambda b: let(block_sums(xs, n, b), lambda sums: let(earlier(sums), lambda before: inside(xs, n, b, before))))
+        return let(F.ceil(F.sqrt(n)).cast("int"), lambda b: let(of_blocks(xs, n, b), lambda sums: let(earlier(sums), lambda before: inside(xs, n, b, before))))
 
-    def block_sums(xs: Column, n: Column, b: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), (n - 1).cast("int"), b), lambda at: _total(F.slice(xs, at + 1, b)))
+    def of_blocks(xs: Column, n: Column, b: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (n - 1).cast("int"), b), lambda at: total(F.slice(xs, at + 1, b)))
 
     def earlier(sums: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda k: _total(F.slice(sums, F.lit(1), k)))
+        return F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda k: total(F.slice(sums, F.lit(1), k)))
 
     def inside(xs: Column, n: Column, b: Column, before: Column) -> Column:
         def at(i: Column) -> Column:
             block = F.floor(i / b).cast("int")
-            return F.get(before, block) + _total(F.slice(xs, block * b + 1, i - block * b + 1))
+            return join(F.get(before, block), total(F.slice(xs, block * b + 1, i - block * b + 1)))
 
         return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), at)
 
@@ -57,6 +56,15 @@ def running_sums(numbers: Column) -> Column:
     return let(numbers, lambda xs: F.when(F.size(xs) == 0, empty).otherwise(blocked(xs)))
 
 
+def running_sums(numbers: Column) -> Column:
+    return _running(numbers, lambda a, b: a + b)
+
+
+def running_most(numbers: Column) -> Column:
+    """The largest so far, of numbers that aren't negative."""
+    return _running(numbers, F.greatest)
+
+
 def matches(text: Column, pattern: str, measure: Callable[[Column], Column] = char_length) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, text), measured in characters or words; end exclusive."""
 
@@ -78,4 +86,31 @@ def of_kind(kind: str, found: Column) -> Column:
     return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
 
+def replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with `by` of each span (kind, start, end) in its place; where spans overlap, a later one keeps what no earlier one covers."""
+
+    def uncovered(ordered: Column) -> Column:
+        return let(running_most(F.transform(ordered, lambda s: s["end"])), lambda ends: F.filter(F.transform(ordered, lambda s, i: cut(s, i, ends)), lambda s: s["start"] < s["end"]))
+
+    def cut(s: Column, i: Column, ends: Column) -> Column:
+        covered = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(ends, i - 1))
+        return F.struct(s["kind"].alias("kind"), F.greatest(s["start"], covered).alias("start"), s["end"].alias("end"))
+
+    def parts(clean: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(clean, i - 1)["end"])
+            return F.concat(F.substring(text, (before + 1).cast("int"), (s["start"] - before).cast("int")), by(s))
+
+        rest = F.substring(text, (F.get(clean, F.size(clean) - 1)["end"] + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(clean, piece), ""), rest)
+
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(by_start, lambda o: let(uncovered(o), parts)))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans; all else keeps its place."""
+    return replaced(text, spans, lambda s: F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")))
+
+
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"

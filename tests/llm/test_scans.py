@@ -6,7 +6,7 @@ import brute
 from pyspark.sql import functions as F
 
 from colonnade.llm import license_scan, pii, secrets_scan
-from colonnade.llm.spans import matches, running_sums, word_count
+from colonnade.llm.spans import blanked, matches, replaced, running_most, running_sums, word_count
 
 
 def test_running_sums(spark):
@@ -17,6 +17,21 @@ def test_running_sums(spark):
         assert got == [sum(xs[: i + 1]) for i in range(n)]
 
 
+def test_running_most_and_replacement(spark):
+    xs = [(i * 7) % 50 for i in range(60)]
+    frame = spark.createDataFrame([(xs,)], "x array<bigint>")
+    assert frame.select(running_most(F.col("x")).alias("s")).first().s == [max(xs[: i + 1]) for i in range(60)]
+    rng = random.Random(9)
+    for text in ("", "é🙂abcdefghij" * 5):
+        for n in (0, 1, 12):
+            spans = [("k", s, min(len(text), s + rng.randrange(1, 9))) for s in (rng.randrange(len(text)) for _ in range(n if text else 0))]
+            row = spark.createDataFrame([(text, spans)], "t string, s array<struct<kind:string,start:bigint,end:bigint>>")
+            got = row.select(blanked(F.col("t"), F.col("s")).alias("b"), replaced(F.col("t"), F.col("s"), lambda s: F.lit("")).alias("r")).first()
+            hit = {p for _, a, b in spans for p in range(a, b)}
+            assert got.b == "".join(" " if i in hit else c for i, c in enumerate(text))
+            assert got.r == "".join(c for i, c in enumerate(text) if i not in hit)
+
+
 def test_places_in_characters_and_words(spark):
     import re
 
