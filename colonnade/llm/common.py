@@ -39,12 +39,20 @@ class Scratch:
         prepare(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/colonnade/{name}-{uuid.uuid4().hex}"
+        self.leaving = False
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self._go_at_exit()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _go_at_exit(self) -> None:
+        """Results may read the tables as long as the application lives; then they go."""
+        if not self.leaving:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            self.leaving = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later result reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm.common import Scratch
-from colonnade.llm.spans import PART_CHAR, WORD_CHAR, let, matches, word_count
+from colonnade.llm.spans import PART_CHAR, WORD_CHAR, matches, word_count
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -110,5 +110,3 @@ def scan(docs: DataFrame, name: str = "licences") -> DataFrame:
     score = F.when(F.size("base_labels") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
     return merged.select("doc_id", "n_words", "places", "base_labels", labels.alias("labels"), score.alias("score"))
 
-
-__all__ = ["BASE", "let", "postings", "scan"]
