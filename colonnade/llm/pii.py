@@ -24,6 +24,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What any match of a kind holds; texts without it aren't searched.
+LIKELY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": "+"}
 #: Words that may be identifiers: they hold a digit or an at sign.
 MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
@@ -52,7 +54,8 @@ def _valid(kind: str, text: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["text"]))
+    likely = text.contains(LIKELY[kind]) if len(LIKELY[kind]) == 1 else text.rlike(LIKELY[kind])
+    return F.filter(matches(text, PATTERNS[kind], likely=likely), lambda m: _valid(kind, m["text"]))
 
 
 def _loose(kind: Column, text: Column) -> Column:
@@ -108,7 +111,7 @@ def find(docs: DataFrame, name: str = "pii") -> DataFrame:
         "k2",
         "base",
         F.concat(*(_contexts(k, text, F.col(k)) for k in KINDS)).alias("seeds"),
-        _contexts("", text, matches(blanked(text, F.col("base")), MENTION)).alias("others"),
+        _contexts("", text, matches(blanked(text, F.col("base")), MENTION, likely=text.rlike("[0-9@]"))).alias("others"),
     )
     table = scratch.write(kept, "base")
     seeds = table.select(F.explode("seeds").alias("s")).select("s.*").filter("pattern != ''")

@@ -65,8 +65,11 @@ def running_most(numbers: Column) -> Column:
     return _running(numbers, F.greatest)
 
 
-def matches(text: Column, pattern: str, measure: Callable[[Column], Column] = char_length) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, text), measured in characters or words; end exclusive."""
+def matches(text: Column, pattern: str, measure: Callable[[Column], Column] = char_length, likely: Column | None = None) -> Column:
+    """Leftmost non-overlapping matches: array of (start, end, text), measured in characters or words; end exclusive.
+
+    likely: something cheap that holds wherever there is a match; other texts aren't searched.
+    """
 
     def places(found: Column) -> Column:
         gaps = F.split(text, pattern, -1)
@@ -74,7 +77,8 @@ def matches(text: Column, pattern: str, measure: Callable[[Column], Column] = ch
         return let(running_sums(steps), lambda ends: F.zip_with(ends, found, lambda e, m: F.struct((e - measure(m)).alias("start"), e.alias("end"), m.alias("text"))))
 
     none = F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(places(found)))
+    out = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(places(found)))
+    return out if likely is None else F.when(likely, out).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
