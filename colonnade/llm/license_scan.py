@@ -54,16 +54,26 @@ def postings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "word string, template int, label string, place long, indexed int, phrase string, phrase_at long")
 
 
+def any_of(words: list[str]) -> str:
+    """A regular expression for any of the words, branching letter by letter."""
+    ends, by_letter = "" in words, {}
+    for w in words:
+        if w:
+            by_letter.setdefault(w[0], []).append(w[1:])
+    branches = [re.escape(c) + any_of(rest) for c, rest in sorted(by_letter.items())]
+    if not branches:
+        return ""
+    joined = branches[0] if len(branches) == 1 and not ends else f"(?:{'|'.join(branches)})"
+    return joined + "?" if ends else joined
+
+
 def _pattern(words: list[str]) -> str:
     return rf"(?i)(?<!{WORD_CHAR})" + rf"{PART_CHAR}++".join(map(re.escape, words)) + rf"(?!{WORD_CHAR})"
 
 
-def phrase_places(text: Column, phrase: str) -> Column:
+def phrase_places(text: Column, phrase: str, likely: Column) -> Column:
     """Numbers of the words at which a phrase's words stand one after the other."""
-    words = phrase.split()
-    likely = F.contains(F.lower(text), F.lit(words[0])) if len(words) > 1 else F.lit(True)
-    found = F.transform(matches(text, _pattern(words), word_count), lambda m: m["start"])
-    return F.when(likely, found).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(matches(text, _pattern(phrase.split()), word_count, likely), lambda m: m["start"])
 
 
 def scan(docs: DataFrame, name: str = "licences") -> DataFrame:
@@ -77,17 +87,19 @@ def scan(docs: DataFrame, name: str = "licences") -> DataFrame:
     scratch = Scratch(spark, name)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
-    entry = rf"(?i)(?<!{WORD_CHAR})(?:{'|'.join(map(re.escape, vocabulary()))})(?!{WORD_CHAR})"
-    words = F.transform(matches(text, entry, word_count), lambda m: F.struct(F.lower(m["text"]).alias("word"), m["start"].alias("at")))
+    entry = rf"(?i)(?<!{WORD_CHAR}){any_of(vocabulary())}(?!{WORD_CHAR})"
+    # every phrase has a word of the vocabulary, so texts without one are searched no further
+    rows, hit = rows.withColumn("hit", text.rlike(entry)), F.col("hit")
+    words = F.transform(matches(text, entry, word_count, hit), lambda m: F.struct(F.lower(m["text"]).alias("word"), m["start"].alias("at")))
     phrases = sorted({p for _, p, _ in TEMPLATES} - BASE.keys())
     table = rows.select(
         "doc_id",
         "k1",
         "k2",
         word_count(text).cast("long").alias("n_words"),
-        F.struct(*(phrase_places(text, p).alias(f"p{i}") for i, p in enumerate(BASE))).alias("places"),
-        F.when(text.rlike(entry), words).alias("words"),
-        F.when(text.rlike(entry), F.array(*(F.struct(F.lit(p).alias("phrase"), phrase_places(text, p).alias("at")) for p in phrases))).alias("phrases"),
+        F.struct(*(phrase_places(text, p, hit).alias(f"p{i}") for i, p in enumerate(BASE))).alias("places"),
+        words.alias("words"),
+        F.array(*(F.struct(F.lit(p).alias("phrase"), phrase_places(text, p, hit).alias("at")) for p in phrases)).alias("phrases"),
     )
     table = scratch.write(table, "base")
     own = [F.struct(F.lit(p).alias("phrase"), F.col(f"places.p{i}").alias("at")) for i, p in enumerate(BASE)]

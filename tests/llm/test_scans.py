@@ -73,6 +73,17 @@ def test_unsure_contexts_find_nothing(spark):
     assert all(not r.spans for r in got)
 
 
+def test_words_as_one_expression():
+    import re
+
+    words = license_scan.vocabulary()
+    found = re.compile(license_scan.any_of(words))
+    assert all(found.fullmatch(w) for w in words)
+    assert not any(found.fullmatch(w + x) for w in words for x in "qz" if w + x not in words)
+    assert not any(found.fullmatch(w[:-1]) for w in words if w[:-1] not in words)
+    assert all(set(p.split()) & set(words) for p in [*license_scan.BASE, *(t[1] for t in license_scan.TEMPLATES)])
+
+
 def test_licences(spark):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
