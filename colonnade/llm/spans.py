@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased texts, as they stand before lower-casing; and what parts them.
-WORD_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The class is written by what it holds: Java matches negated classes of several ranges some twenty times slower.
+WORD_CHAR = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 PART_CHAR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
