@@ -20,7 +20,7 @@ from colonnade.llm.common import neutral, prepare, text_bytes
 WINDOW = 10
 #: A text of which more than this share of words is hit is dropped whole; else the hit spans are cut out.
 MAX_COVERAGE = 0.5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: What [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ matches in lower-cased UTF-8.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
