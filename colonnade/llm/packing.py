@@ -27,7 +27,7 @@ WINDOW, END_ID = 2048, 1
 BLOCK, BINS, DEPTH = 1024, 32, 3
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers the ids of.
-_CACHE = 600_000
+_CACHE = 500_000
 #: Sequences of one task; its number is above these bits of sequence_id.
 _TASK_BITS = 36
 

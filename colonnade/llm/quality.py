@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         for batch in batches:
             scores = mine.scores(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*inner, "score"])
+        mine.known.clear()  # the worker goes on to other tasks
 
     frame = docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(kept, inner, strict=True)), text_bytes(docs["text"]).alias("body"))
     schema = frame.drop("body").schema.add("score", "double")
