@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.llm import shingles
 from colonnade.llm.common import Scratch, neutral, text_bytes
 from colonnade.llm.graph import components
 
@@ -206,14 +207,11 @@ def hex_fingerprint(col: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each near-duplicate group: its smallest doc_id (ties: smallest text key).
+    """The documents with one row of each group of near copies (shingles.py): its smallest doc_id (ties: smallest text key).
 
     A group without any doc_id keeps one row too; of rows that repeat whole one stays. Columns are those of docs.
     """
     frame, restored = neutral(docs)
-    rows = near_duplicates(frame, "simhash-keep")
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
-    kept = kept.select(F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.none").alias("none"), F.col("k.text_key").alias("key"))
-    keyed = frame.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "none": F.col("doc_id").isNull(), "key": F.xxhash64("text")})
-    keys = ["id", "none", "key"]
-    return restored(keyed.join(kept, keys, "left_semi").dropDuplicates(keys))
+    key = shingles.key_columns(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    kept = shingles.firsts(frame, "shingles-keep")
+    return restored(frame.withColumns(key).join(kept, list(key), "left_semi").dropDuplicates(list(key)))
