@@ -1,10 +1,9 @@
-"""Licences: a positional index of templates' rare words, looked up by each file's rarest licence words.
+"""Licences: a positional index of templates' words, looked up by all licence words of each file.
 
-Every template is filed by its words (function words left out) and their places. A file's licence words are ranked by
-inverse document frequency over the whole corpus; its TOP rarest are looked up, and postings that agree on where the
-template would start in the file are intersected. A placement with enough agreeing words holds if the template's
-mandatory phrase stands where the placement puts it. The index and the frequencies have the size of the
-templates' vocabulary, which is fixed, and are broadcast; all else stays distributed.
+Every template is filed by its words (function words left out) and their places. Each place of a licence word in a file
+is looked up, and postings that agree on where the template would start in the file are intersected. A placement
+with enough agreeing words holds if the template's mandatory phrase stands where the placement puts it. The index
+has the size of the templates' vocabulary, which is fixed, and is broadcast; all else stays distributed.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from colonnade.llm.spans import PART_CHAR, WORD_CHAR, matches, word_count
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-TOP, MIN_VOTES = 8, 2
+MIN_VOTES = 2
 #: Public licence notices as (label, mandatory phrase, words).
 TEMPLATES = [
     ("gpl", "gnu general public license", "this work is licensed under the gnu general public license version"),
@@ -104,18 +103,13 @@ def scan(docs: DataFrame, name: str = "licences") -> DataFrame:
     table = scratch.write(table, "base")
     own = [F.struct(F.lit(p).alias("phrase"), F.col(f"places.p{i}").alias("at")) for i, p in enumerate(BASE)]
     marked = table.filter("size(words) > 0").select("k1", "k2", "words", F.concat(F.array(*own), "phrases").alias("phrases"))
-    total = table.count()
-    seen = marked.select(F.explode(F.array_distinct(F.transform("words", lambda w: w["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    weights = F.broadcast(seen.select("word", F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf")))  # the vocabulary's size at most
-    single = marked.select("k1", "k2", F.explode(F.array_distinct(F.transform("words", lambda w: w["word"]))).alias("word")).distinct()
-    ranked = single.join(weights, "word").groupBy("k1", "k2").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word"))), 1, TOP).alias("top"))
-    rare = marked.dropDuplicates(["k1", "k2"]).join(ranked, ["k1", "k2"])
+    held = marked.dropDuplicates(["k1", "k2"])
     index = F.broadcast(postings(spark))
-    looked_up = rare.select("k1", "k2", "phrases", "top", F.explode("words").alias("w")).filter(F.exists("top", lambda t: t["word"] == F.col("w.word")))
+    looked_up = held.select("k1", "k2", F.explode("words").alias("w"))
     looked_up = looked_up.select("k1", "k2", F.col("w.word").alias("word"), F.col("w.at").alias("at")).join(index, "word").withColumn("offset", F.col("at") - F.col("place"))
     votes = looked_up.groupBy("k1", "k2", "template", "label", "indexed", "phrase", "phrase_at", "offset").agg(F.count("*").alias("votes")).filter(F.col("votes") >= MIN_VOTES)
-    checked = votes.join(rare.select("k1", "k2", "phrases"), ["k1", "k2"]).filter(F.exists("phrases", lambda p: (p["phrase"] == F.col("phrase")) & F.array_contains(p["at"], F.col("offset") + F.col("phrase_at"))))
-    found = checked.groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max(F.least(F.lit(1.0), F.col("votes") / F.least("indexed", F.lit(TOP)))).alias("share"))
+    checked = votes.join(held.select("k1", "k2", "phrases"), ["k1", "k2"]).filter(F.exists("phrases", lambda p: (p["phrase"] == F.col("phrase")) & F.array_contains(p["at"], F.col("offset") + F.col("phrase_at"))))
+    found = checked.groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max(F.col("votes") / F.col("indexed")).alias("share"))
     base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.size(f"places.p{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values()))))))
     merged = table.select("doc_id", "k1", "k2", "n_words", F.array_sort(F.concat(*(F.col(f"places.p{i}") for i in range(len(BASE))))).alias("places"), base_labels.alias("base_labels")).join(found, ["k1", "k2"], "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))

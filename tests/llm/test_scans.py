@@ -98,6 +98,16 @@ def test_licences(spark):
         assert (r.n_words, len(r.places), min(r.places, default=None), max(r.places, default=None), ",".join(r.base_labels)) == (n, places, first, last, labels)
 
 
+def test_several_notices_in_one_text(spark):
+    from itertools import combinations
+
+    templates = [(label, text) for label, _, text in license_scan.TEMPLATES]
+    several = [list(pair) for pair in combinations(templates, 2)] + [templates]
+    rows = [(i, " ; and ".join(text for _, text in some)) for i, some in enumerate(several)]
+    got = {r.doc_id: set(r.labels) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({label for label, _ in some} <= got[i] for i, some in enumerate(several))
+
+
 def test_random_strings_stand_out(spark):
     import hashlib
 
