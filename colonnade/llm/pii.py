@@ -28,6 +28,14 @@ PATTERNS = {
 LIKELY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": "+"}
 #: Words that may be identifiers: they hold a digit or an at sign.
 MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What may close a sentence or bracket after a mention, and isn't part of it.
+CLOSING = r"""[.,;:!?)\]}>'"]"""
+_END = rf"(?={CLOSING}*+(?:\s|$))"
+#: Numbers that may be of a kind and run over several words; one word alone where it is long enough.
+RUNS = {
+    "phone": rf"(?<!\S)(?:[+(]{{0,2}}[0-9](?:[().-]{{0,2}}[0-9]){{6,14}}{_END}|[+(]{{0,2}}[0-9](?:(?:[\x20.-]|\x20?\(|\)[\x20.-]?)?[0-9]){{6,14}}(?![0-9]))",
+    "card": rf"(?<!\S)(?:[0-9](?:[.-]?[0-9]){{11,18}}{_END}|[0-9](?:[\x20.-]?[0-9]){{11,18}}(?![0-9]))",
+}
 
 
 def _digits(text: Column) -> Column:
@@ -74,9 +82,27 @@ def _before(text: Column, start: Column) -> Column:
     return F.lower(F.regexp_extract(F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40))), r"(\S+)\s+$", 1))
 
 
-def _contexts(kind: Column | str, text: Column, found: Column) -> Column:
-    shown = F.lit(kind) if isinstance(kind, str) else kind
-    return F.transform(found, lambda m: F.struct(shown.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("value"), _before(text, m["start"]).alias("pattern")))
+def _contexts(kind: str, text: Column, found: Column) -> Column:
+    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("value"), _before(text, m["start"]).alias("pattern")))
+
+
+def _trimmed(found: Column) -> Column:
+    """Mentions without what closes the sentence after them."""
+    cut = lambda m, t: F.struct(m["start"].alias("start"), (m["start"] + F.length(t)).alias("end"), t.alias("text"))
+    return F.transform(found, lambda m: let(F.regexp_replace(m["text"], f"{CLOSING}+$", ""), lambda t: cut(m, t)))
+
+
+def _mentions(text: Column, base: Column) -> Column:
+    """What may be of a kind, outside base spans, with its context; what is found as a word and as a run is there once."""
+
+    def all_kinds(free: Column) -> Column:
+        words = _trimmed(matches(free, MENTION, likely=text.rlike("[0-9@]")))
+        of_loose_form = lambda ws, kind: F.filter(ws, lambda m: _loose(F.lit(kind), m["text"]))
+        by_word = let(words, lambda ws: F.concat(*(_contexts(k, text, of_loose_form(ws, k)) for k in KINDS)))
+        runs = (_contexts(k, text, matches(free, pattern, likely=text.rlike("[0-9]"))) for k, pattern in RUNS.items())
+        return F.array_distinct(F.concat(by_word, *runs))
+
+    return let(blanked(text, base), all_kinds)
 
 
 def _graph_scores(seeds: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,13 +137,12 @@ def find(docs: DataFrame, name: str = "pii") -> DataFrame:
         "k2",
         "base",
         F.concat(*(_contexts(k, text, F.col(k)) for k in KINDS)).alias("seeds"),
-        _contexts("", text, matches(blanked(text, F.col("base")), MENTION, likely=text.rlike("[0-9@]"))).alias("others"),
+        _mentions(text, F.col("base")).alias("others"),
     )
     table = scratch.write(kept, "base")
     seeds = table.select(F.explode("seeds").alias("s")).select("s.*").filter("pattern != ''")
-    loose = table.select("k1", "k2", F.explode("others").alias("o")).select("k1", "k2", "o.start", "o.end", "o.value", "o.pattern").filter("pattern != ''")
-    kinds = F.array(*(F.when(_loose(F.lit(k), F.col("value")), F.lit(k)) for k in KINDS))
-    loose = scratch.write(loose.withColumn("kind", F.explode(F.array_compact(kinds))), "loose")
+    loose = table.select("k1", "k2", F.explode("others").alias("o")).select("k1", "k2", "o.*").filter("pattern != ''")
+    loose = scratch.write(loose, "loose")
     edges = scratch.write(seeds.select("kind", "pattern", "value").unionByName(loose.select("kind", "pattern", "value")).groupBy("kind", "pattern", "value").agg(F.count("*").alias("n")), "edges")
     accepted = _graph_scores(seeds, edges, scratch)
     spotted = loose.join(accepted, ["kind", "pattern", "value"]).select("k1", "k2", F.struct("kind", "start", "end").alias("s"))

@@ -67,6 +67,18 @@ def test_contexts_find_identifiers_of_unseen_form(spark):
     assert all(got[i][0] == 1 and len(got[i][1]) == 1 for i in range(20))
 
 
+def test_contexts_find_numbers_in_several_words_and_before_punctuation(spark):
+    rows = [(i, f"please phone: +1 555 010 {1000 + i} soon") for i in range(40)]
+    cards = [f"4111 1111 {n} 1111" for n in range(1000, 3000) if brute.luhn(f"41111111{n}1111")][:40]
+    rows += [(50 + i, f"please card: {c} soon") for i, c in enumerate(cards)]
+    unseen = ["555-010-2000", "555-010-2001", "555 010 2002", "(555) 010-2003", "4111 1111 1111 1112"]
+    texts = ["or phone: 555-010-2000, room", "or phone: 555-010-2001.", "or phone: 555 010 2002 at noon", "or phone: (555) 010-2003 (home)", "or card: 4111 1111 1111 1112; ok"]
+    rows += [(100 + i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, u) in enumerate(zip(texts, unseen, strict=True)):
+        assert got[100 + i] == [("card" if "card" in t else "phone", t.index(u), t.index(u) + len(u))], t
+
+
 def test_unsure_contexts_find_nothing(spark):
     rows = [(i, f"number +1 555 010 {1000 + i}") for i in range(6)] + [(50 + i, f"number 12-34-{5000 + i}0") for i in range(40)]
     got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 50").collect()
