@@ -131,3 +131,13 @@ def test_random_strings_stand_out(spark):
     for i, k in enumerate(keys):
         assert got[100 + i] == [("random", 4, 4 + len(k))], k
     assert all(not got[i] for i in range(50))
+
+
+def test_letters_alone_are_scored_too(spark):
+    ordinary = ["internationalization", "get_user_by_identifier", "snake_case_identifier_name", "1234567890123456", "misunderstandings", "configuration_parameter", "responsibilities", "characteristically", "straightforwardness", "telecommunications"]
+    rows = [(i, f"the {w} of it") for i, w in enumerate(ordinary * 20)]
+    keys = ["qXvTzKwPfGhJrMnBcLdS", "xkqjzvwpfghrmnbt", "WQJXDZBKVCTGLXPH", "q_zx-jkv=wpf+ghr"]
+    rows += [(1000 + i, f"see {k} here") for i, k in enumerate(keys)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, k in enumerate(keys):
+        assert got[1000 + i] == [("random", 4, 4 + len(k))], k
