@@ -99,6 +99,15 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
 
 
+def shingle_set(text, words=5):
+    parts = SPACED_WORD.findall(lower(text))
+    return frozenset(" ".join(parts[i : i + words]) for i in range(max(len(parts) - words + 1, min(len(parts), 1))))
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
 def groups(links, nodes):
     """The smallest node that each can reach."""
     parent = {x: x for x in nodes}

@@ -28,14 +28,17 @@ def test_quality_keeps_what_scores_half(spark, odd, odd_dir):
 
 
 def test_one_of_each_group_stays(spark, odd, odd_dir):
+    """Groups are what pairs of 5-word shingle sets of similarity 0.8 or more join."""
     got = rows(STAGES["near_duplicates"](spark, odd, odd_dir))
-    prints = [brute.simhash(t) for _, t in TEXTS]
-    roots = brute.near_groups(prints)
-    assert len(got) == len({roots[p] for p in prints})
-    assert len({roots[brute.simhash(t)] for _, t in got}) == len(got)
-    for i, t in got:
-        group = [j for (j, _), p in zip(TEXTS, prints, strict=True) if roots[p] == roots[brute.simhash(t)] and j is not None]
-        assert i == min(group, default=None)
+    sets = [brute.shingle_set(t) for _, t in TEXTS]
+    nodes = range(len(TEXTS))
+    roots = brute.groups([(i, j) for i in nodes for j in range(i) if brute.alike(sets[i], sets[j])], nodes)
+    wanted = []
+    for root in set(roots.values()):
+        members = [TEXTS[i] for i in nodes if roots[i] == root]
+        wanted.append(min((i for i, _ in members if i is not None), default=None))
+    assert sorted((i for i, _ in got), key=repr) == sorted(wanted, key=repr)
+    assert all(x in TEXTS for x in got)
 
 
 def test_benchmark_passages_go(spark, odd, odd_dir):

@@ -5,15 +5,6 @@ import brute
 from colonnade.llm import simhash
 
 
-def plain_set(text, words=5):
-    parts = brute.SPACED_WORD.findall(brute.lower(text))
-    return frozenset(" ".join(parts[i : i + words]) for i in range(max(len(parts) - words + 1, min(len(parts), 1))))
-
-
-def alike(a, b):
-    return a == b or len(a & b) >= 0.8 * len(a | b)
-
-
 def edited(rng, words, times):
     words = list(words)
     for _ in range(times):
@@ -34,9 +25,9 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     hot = [f"hot{i}" for i in range(200)]
     texts += [" ".join(edited(rng, hot, rng.randrange(12))) for _ in range(60)]
     texts += [" ".join(line + [f"x{rng.randrange(10**6)}" for _ in range(20)]) for _ in range(60)]
-    sets = [plain_set(t) for t in texts]
+    sets = [brute.shingle_set(t) for t in texts]
     nodes = range(len(texts))
-    roots = brute.groups([(i, j) for i in nodes for j in range(i) if alike(sets[i], sets[j])], nodes)
-    assert any(sets[i] != sets[r] for i, r in roots.items()) and any(not alike(sets[i], sets[r]) for i, r in roots.items())
+    roots = brute.groups([(i, j) for i in nodes for j in range(i) if brute.alike(sets[i], sets[j])], nodes)
+    assert any(sets[i] != sets[r] for i, r in roots.items()) and any(not brute.alike(sets[i], sets[r]) for i, r in roots.items())
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(set(roots.values()))
