@@ -9,12 +9,11 @@ shard's own fingerprints; trees aren't broadcast, since all of them together gro
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,30 +21,23 @@ from colonnade.llm import shingles
 from colonnade.llm.common import Scratch, neutral, text_bytes
 from colonnade.llm.graph import components
 
-SEED, WORDS, RADIUS, SHARD = 42, 3, 2, 1024
+WORDS, RADIUS, SHARD = 3, 2, 1024
 _CHUNK = 1 << 16
 _ALL = (1 << 64) - 1
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The SimHash of a UTF-8 text; 0 if it has no words."""
-    parts = text.lower().split()  # both touch ASCII alone
-    if not parts:
-        return 0
-    if len(parts) < words:
-        parts = [b" ".join(parts)]
-        grams: Iterable[bytes] = parts
-        total = 1
-    else:
-        grams = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
-        total = len(parts) - words + 1
-    seed, h = SEED, xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(g, seed) for g in grams), dtype="<u8", count=total)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: a bit is 1 if it is in over half of them; 0 of none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, total, _CHUNK):
-        part = hashes[at : at + _CHUNK]
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK])
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """The SimHash of a UTF-8 text; 0 if it has no words."""
+    return fingerprint_of(shingles.hashes(text, words))
 
 
 class BKTree:
@@ -207,11 +199,13 @@ def hex_fingerprint(col: str = "fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each group of near copies (shingles.py): its smallest doc_id (ties: smallest text key).
+    """The documents with one row of each group of near copies: its smallest doc_id (ties: smallest text key).
 
+    Near copies are texts whose sets of 5-word shingles agree by 0.8 or more. Fingerprints of these shingles within RADIUS bits,
+    found by the BK-trees, are compared first; what 64 bits can't tell is found by shingles.firsts(), so no pair is missed.
     A group without any doc_id keeps one row too; of rows that repeat whole one stays. Columns are those of docs.
     """
     frame, restored = neutral(docs)
     key = shingles.key_columns(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    kept = shingles.firsts(frame, "shingles-keep")
+    kept = shingles.firsts(frame, fingerprint_of, fingerprint_links)
     return restored(frame.withColumns(key).join(kept, list(key), "left_semi").dropDuplicates(list(key)))
