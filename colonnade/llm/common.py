@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return a Python worker's unused memory to the system; workers outlive their tasks, and other stages' workers run beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def text_bytes(col: str | Column = "text") -> Column:
     """The text's UTF-8, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import prepare, text_bytes
+from colonnade.llm.common import give_back, prepare, text_bytes
 
 WINDOW, END_ID = 2048, 1
 #: Token ids a document's text may need per block, in windows; and the bins of a window.
@@ -96,6 +96,10 @@ class WordIds:
         get = known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in texts]
 
+    def forget(self) -> None:
+        self.plain.clear()
+        self.other.clear()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text."""
         cut = [plain_pieces(t) for t in texts]
@@ -277,6 +281,8 @@ def _packer(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     yield from flush(False)
         if waiting:
             yield from flush(True)
+        words.forget()
+        give_back()
 
     return pack
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import neutral, prepare, text_bytes
+from colonnade.llm.common import give_back, neutral, prepare, text_bytes
 
 SAMPLE = 4000
 BITS, DIM, GRAMS = 17, 8, (2, 3, 4)
@@ -167,6 +167,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             scores = mine.scores(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*inner, "score"])
         mine.known.clear()  # the worker goes on to other tasks
+        give_back()
 
     frame = docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(kept, inner, strict=True)), text_bytes(docs["text"]).alias("body"))
     schema = frame.drop("body").schema.add("score", "double")
