@@ -2,10 +2,11 @@
 
 Each task packs its own stream of documents in blocks of about BLOCK windows of tokens, so nothing is shuffled or
 collected. In a block, full windows are cut off first. What remains of the documents is binned by length; all
-combinations of up to DEPTH bins that fill a window are enumerated, and repeat counts that explain the histogram
-are solved by non-negative least squares and rounded down. Residual pieces then fill the slack that the bins leave, and
-windows of their own, largest first; they are cut where a window ends. A block's last, short window moves on to the
-next block; a task's last one is split at powers of two, which need no padding.
+combinations of up to DEPTH bins that fill a window on average are enumerated, and repeat counts that explain the histogram
+are solved by non-negative least squares and rounded down. A planned window takes whole documents of its bins, the last two such that
+they fill it exactly where there are such. What the plan leaves fills slack, and windows of its own, largest first; only
+there are documents cut, where a window ends. A block's last, short window moves on to the next block; a task's last
+one is split at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from colonnade.llm.common import give_back, prepare, text_bytes
 
 WINDOW, END_ID = 2048, 1
 #: Token ids a document's text may need per block, in windows; and the bins of a window.
-BLOCK, BINS, DEPTH = 1024, 32, 3
+BLOCK, BINS, DEPTH = 1024, 32, 4
+#: Times that the plan is solved for what the last one left.
+ROUNDS = 4
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers the ids of.
 _CACHE = 500_000
@@ -110,17 +113,25 @@ class WordIds:
 
 @lru_cache(4)
 def combinations(bins: int = BINS, depth: int = DEPTH) -> np.ndarray:
-    """Rows of bin counts: every multiset of at most `depth` bins, bin b holding up to b+1 units, that fills `bins` units."""
+    """Rows of bin counts: every multiset of at most `depth` bins whose middles add up to about `bins` units.
+
+    Bin b holds lengths over b-1 and up to b units, so m pieces of bins that add up to bins + m/2 fill a window on average.
+    """
     out: list[list[int]] = []
 
-    def extend(left: int, most: int, chosen: list[int]) -> None:
-        if not left:
-            out.append(chosen)
-        elif len(chosen) < depth:
-            for b in range(min(left, most), 0, -1):
-                extend(left - b, b, [*chosen, b])
+    def extend(left: int, most: int, chosen: list[int], size: int) -> None:
+        if len(chosen) == size:
+            if not left:
+                out.append(chosen)
+            return
+        for b in range(min(left, most), 0, -1):
+            if b * (size - len(chosen)) < left:
+                break
+            extend(left - b, b, [*chosen, b], size)
 
-    extend(bins, bins, [])
+    for size in range(1, depth + 1):
+        for total in {bins + size // 2, bins + (size + 1) // 2} if size > 1 else {bins}:
+            extend(total, bins, [], size)
     table = np.zeros((len(out), bins), np.int64)
     for row, chosen in zip(table, out, strict=True):
         for b in chosen:
@@ -128,11 +139,17 @@ def combinations(bins: int = BINS, depth: int = DEPTH) -> np.ndarray:
     return table
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by the active-set method of Lawson and Hanson."""
+@lru_cache(4)
+def _gram(bins: int, depth: int) -> np.ndarray:
+    table = combinations(bins, depth).astype(float)
+    return table @ table.T
+
+
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300, gram: np.ndarray | None = None) -> np.ndarray:
+    """x >= 0 that minimises |a x - b|, by the active-set method of Lawson and Hanson. gram: a.T a, where it is known."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    gram, right = a.T @ a, a.T @ b
+    gram, right = a.T @ a if gram is None else gram, a.T @ b
     tolerance = 1e-9 * max(1.0, float(np.abs(right).max(initial=0)))
     for _ in range(rounds):
         gradient = right - gram @ x
@@ -161,39 +178,146 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 #: A piece: which document of the block, its first token there, its length.
 Piece = tuple[int, int, int]
+#: Pieces that are placed together, and their tokens.
+Item = tuple[int, tuple[Piece, ...]]
+
+
+class _Shelves:
+    """Items by bin, and within a bin by length."""
+
+    def __init__(self, items: list[Item], bins: int, unit: int):
+        self.unit = unit
+        self.by_length: list[dict[int, list[Item]]] = [{} for _ in range(bins)]
+        self.sizes = np.zeros(bins, np.int64)
+        for item in items:
+            self.by_length[(item[0] - 1) // unit].setdefault(item[0], []).append(item)
+            self.sizes[(item[0] - 1) // unit] += 1
+
+    def take(self, length: int) -> Item:
+        b = (length - 1) // self.unit
+        held = self.by_length[b][length]
+        item = held.pop()
+        if not held:
+            del self.by_length[b][length]
+        self.sizes[b] -= 1
+        return item
+
+    def has(self, length: int, besides: int = 0) -> bool:
+        """Whether there is an item of the length, one of the length `besides` not counted."""
+        b = (length - 1) // self.unit
+        return 0 <= b < len(self.by_length) and len(self.by_length[b].get(length, ())) > (length == besides)
+
+    def exact(self, b: int, room: int) -> list[Item] | None:
+        """Two items, the first of bin b, that fill the room; or one that does."""
+        if room > 0 and self.has(room):
+            return [self.take(room)]
+        for x in self.by_length[b]:
+            if room > x and self.has(room - x, x):
+                return [self.take(x), self.take(room - x)]
+        return None
 
+    def below(self, b: int, room: int) -> Item | None:
+        """The longest item of bin b that fits."""
+        fitting = [x for x in self.by_length[b] if x <= room]
+        return self.take(max(fitting)) if fitting else None
+
+    def rest(self) -> list[Item]:
+        return [item for shelf in self.by_length for held in shelf.values() for item in held]
+
+
+def _window_of(shelves: _Shelves, chosen: list[int], window: int) -> list[Item]:
+    """Items of the chosen bins (longest first), the last two so that the window is filled exactly where there are such."""
+    got: list[Item] = []
+    room = window
+    for b in chosen[:-2]:
+        if (item := shelves.below(b, room)) is None:
+            return got
+        got.append(item)
+        room -= item[0]
+    last = chosen[-2:]
+    if found := shelves.exact(last[0], room):
+        return got + found
+    for b in last:
+        if (item := shelves.below(b, room)) is not None:
+            got.append(item)
+            room -= item[0]
+    return got
+
+
+def _chained(rest: list[Piece], window: int) -> list[Item]:
+    """Pieces as items. Short ones join chains of about a quarter window, so that shallow combinations reach them, but
+    for some that stay to fill slack: two for each window, or half of them."""
+    shorts = sorted((p for p in rest if p[2] * 16 < window), key=lambda p: (p[2], p[0]))
+    items = [(p[2], (p,)) for p in rest if p[2] * 16 >= window]
+    loose = min(len(shorts) // 2, 2 * sum(p[2] for p in rest) // window)
+    step = len(shorts) / loose if loose else 0
+    stay = {int(k * step) for k in range(loose)}
+    chain: list[Piece] = []
+    length = 0
+    for k, piece in enumerate(shorts):
+        if k in stay:
+            items.append((piece[2], (piece,)))
+            continue
+        chain.append(piece)
+        length += piece[2]
+        if length * 16 >= window * (3 + len(items) % 3):
+            items.append((length, tuple(chain)))
+            chain, length = [], 0
+    return items + [(p[2], (p,)) for p in chain]
+
+
+def _planned(shelves: _Shelves, window: int, bins: int, solve: Callable = nnls) -> list[list[Item]]:
+    """Windows of whole items, by repeat counts that explain the histogram; what a round leaves is solved for again."""
+    table, out = combinations(bins, DEPTH), []
+    for _ in range(ROUNDS):
+        repeats = solve(table.T.astype(float), shelves.sizes.astype(float), gram=_gram(bins, DEPTH))
+        repeats = np.floor(np.asarray(repeats) + 1e-6).astype(int)
+        before = len(out)
+        for k in np.argsort(-repeats, kind="stable")[: np.count_nonzero(repeats)]:
+            chosen = [b for b in range(bins - 1, -1, -1) for _ in range(table[k][b])]
+            for _ in range(repeats[k]):
+                if (shelves.sizes < table[k]).any():
+                    break
+                out.append(_window_of(shelves, chosen, window))
+        if len(out) - before < 4:
+            break
+    return out
 
-def pack_block(lengths: list[int], window: int = WINDOW, bins: int = BINS) -> list[list[Piece]]:
+
+def pack_block(lengths: list[int], window: int = WINDOW, bins: int = BINS, solve: Callable = nnls) -> list[list[Piece]]:
     """Documents' lengths -> sequences of pieces; all but the last are full."""
-    full, rest = [], []
+    sequences, rest = [], []
     for doc, n in enumerate(lengths):
         for start in range(0, n - window + 1, window):
-            full.append([(doc, start, window)])
+            sequences.append([(doc, start, window)])
         if n % window:
             rest.append((doc, n - n % window, n % window))
-    unit = max(1, -(-window // bins))
-    shelves: list[list[Piece]] = [[] for _ in range(bins)]
-    for piece in sorted(rest, key=lambda p: (p[2], p[0])):
-        shelves[(piece[2] - 1) // unit].append(piece)
-    table = combinations(bins)
-    histogram = np.array([len(s) for s in shelves], float)
-    repeats = np.floor(nnls(table.T.astype(float), histogram) + 1e-6).astype(int) if rest else []
-    planned: list[list[Piece]] = []
-    for k in np.flatnonzero(repeats):
-        need = [b for b in range(bins) if table[k][b]]
-        for _ in range(repeats[k]):
-            if any(len(shelves[b]) < table[k][b] for b in need):
-                break
-            planned.append([shelves[b].pop() for b in need for _ in range(table[k][b])])
-    residual = sorted((p for s in shelves for p in s), key=lambda p: (p[2], p[0]))  # the last, longest, goes first
-    slack = [window - sum(p[2] for p in s) for s in planned]
-    spare, missing = sum(p[2] for p in residual), sum(slack)
-    while planned and spare < missing:  # too little is left to fill the slack: take windows apart again
-        apart = planned.pop()
-        missing -= slack.pop()
-        spare += sum(p[2] for p in apart)
-        residual = [*sorted(apart, key=lambda p: p[2]), *residual]
-    sequences = full
+    bins = min(bins, window)
+    unit = -(-window // bins)
+    shelves = _Shelves(_chained(rest, window), bins, unit)
+    planned = _planned(shelves, window, bins, solve)
+    spare = sum(n for n, _ in shelves.rest())
+    slack = [window - sum(n for n, _ in items) for items in planned]
+    order = sorted(range(len(planned)), key=lambda k: slack[k])
+    missing, apart = sum(slack), []
+    while order and spare < missing:  # too little is left to fill the slack: take the worst windows apart again
+        k = order.pop()
+        missing -= slack[k]
+        spare += window - slack[k]
+        apart += planned[k]
+    left = _Shelves([(p[2], (p,)) for _, pieces in shelves.rest() + apart for p in pieces], bins, unit)
+    open_windows: list[tuple[list[Piece], int]] = []
+    for k in sorted(order):
+        pieces, room = [p for _, ps in planned[k] for p in ps], slack[k]
+        # a whole piece, or two of the shortest, rather than a part of one
+        while room and (found := left.exact(min((room - 1) // (2 * unit), bins - 1), room)):
+            pieces += [p for _, ps in found for p in ps]
+            room = 0
+        if room:
+            open_windows.append((pieces, room))
+        else:
+            sequences.append(pieces)
+    residual = sorted((p for _, ps in left.rest() for p in ps), key=lambda p: (p[2], p[0]))  # the last, longest, goes first
 
     def fill(sequence: list[Piece], room: int) -> None:
         while room and residual:
@@ -203,9 +327,9 @@ def pack_block(lengths: list[int], window: int = WINDOW, bins: int = BINS) -> li
                 residual.append((doc, start + room, n - room))
             room -= min(n, room)
 
-    for sequence, room in zip(planned, slack, strict=True):
-        fill(sequence, room)
-        sequences.append(sequence)
+    for pieces, room in open_windows:
+        fill(pieces, room)
+        sequences.append(pieces)
     while residual:
         sequences.append([])
         fill(sequences[-1], window)
