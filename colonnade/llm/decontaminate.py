@@ -1,8 +1,9 @@
 """Benchmark decontamination: a generalised suffix automaton over the words of normalised test items.
 
 Training texts stream through the automaton; the longest match ending at each word tells which windows of an item
-end there. Items are taken in blocks of at most BLOCK_BYTES of text: each block's automaton is broadcast, so a
-broadcast has that bound, and a larger benchmark means more passes, not larger broadcasts.
+end there. Long items are cut into overlapping parts, and parts dealt to blocks of at most BLOCK_BYTES of text. One block at
+a time is collected, its automaton broadcast, and what it finds written, so neither the driver nor a worker holds
+more than a block: a larger benchmark means more passes, not larger broadcasts.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colonnade.llm.common import neutral, prepare, text_bytes
+from colonnade.llm.common import Scratch, neutral, prepare, text_bytes
 
 WINDOW = 10
 #: A text of which more than this share of words is hit is dropped whole; else the hit spans are cut out.
@@ -42,8 +46,13 @@ class Automaton:
             for word in words:
                 last = self._extend(last, word)
         size = len(self.next)
+        by_length = sorted(range(size), key=self.length.__getitem__)
         #: The state of a state's suffixes of `window` words; -1 if its match is shorter.
-        self.full = [self._above(v) for v in range(size)]
+        self.full = [-1] * size
+        for v in by_length:
+            if self.length[v] >= window:
+                above = self.full[self.link[v]]
+                self.full[v] = v if above < 0 else above
         self.window_items: dict[int, set] = {}
         short: dict[int, dict[int, set]] = {}
         for item, words in items:
@@ -56,17 +65,10 @@ class Automaton:
                 short.setdefault(v, {}).setdefault(len(words), set()).add(item)
         #: Whole short items that end in a state: (words, items), longest first.
         self.short: list[list[tuple[int, set]]] = [[] for _ in range(size)]
-        for v in sorted(range(size), key=self.length.__getitem__):
+        for v in by_length:
             own = sorted(short.get(v, {}).items(), reverse=True)
             self.short[v] = own + (self.short[self.link[v]] if v else [])
 
-    def _above(self, v: int) -> int:
-        if self.length[v] < self.window:
-            return -1
-        while self.length[self.link[v]] >= self.window:
-            v = self.link[v]
-        return v
-
     def _extend(self, last: int, word: bytes) -> int:
         nexts, link, length = self.next, self.link, self.length
         if word in nexts[last]:
@@ -147,21 +149,47 @@ class Automaton:
         return spans, found
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The items, at most about block_bytes of text at a time; a larger single item comes alone."""
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(2 * total / block_bytes))
-    for part in range(parts) if total else ():
-        rows = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield [(r.item_id, normalised_words(bytes(r.text))) for r in rows.collect()]
+def _cut_items(window: int, most: int):
+    """Items as rows of words, cut into parts of at most about `most` bytes that share window-1 words with the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = normalised_words(text)
+                at = 0
+                while at < len(words):
+                    end, size = at, 0
+                    while end < len(words) and (size <= most or end - at < 2 * window):
+                        size += len(words[end]) + 1
+                        end += 1
+                    ids.append(item)
+                    parts.append(b" ".join(words[at:end]))
+                    at = end if end == len(words) else end - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.binary())], names=["item_id", "part"])
+
+    return run
+
+
+def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items' parts, at most about block_bytes of text at a time; at least one block, which may be empty.
+
+    Parts are a sixteenth of that and blocks are aimed at half of it, so that chance doesn't fill one beyond.
+    """
+    parts = items.mapInArrow(_cut_items(window, block_bytes // 16), "item_id string, part binary").distinct()
+    total = parts.agg(F.sum(F.octet_length("part") + 1)).first()[0] or 0
+    count = max(1, math.ceil(2 * total / block_bytes)) if total > block_bytes else 1
+    for k in range(count):
+        rows = parts if count == 1 else parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(count)) == k)
+        yield [(r.item_id, bytes(r.part).split()) for r in rows.collect()]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -169,47 +197,77 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+_FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
 def find_hits(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with `text`, items (item_id, text) -> the kept columns (default: all), n_words, spans, items.
 
     spans: array of (start, end) in words, disjoint and ordered; items: sorted array of item_id strings.
     Null texts have no words, null item_ids don't appear in items though their windows count. Items without
-    words never match. Works in one pass over the documents for each block of items, without a shuffle.
+    words never match. Where the items fit in one block, documents pass it once, without a shuffle. Else each block writes the
+    distinct texts it hits with their spans, and these are joined to the documents by the texts' hashes at the end.
     """
     spark = docs.sparkSession
     prepare(spark)
     kept = docs.columns if keep is None else keep
     inner = [f"c{i}" for i in range(len(kept))]
     frame = docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(kept, inner, strict=True)), text_bytes(docs["text"]).alias("body"))
-    frame = frame.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "items": F.array().cast("array<string>")})
     ready = items.select(F.col("item_id").cast("string").alias("item_id"), text_bytes(items["text"]).alias("text"))
-    blocks = list(_blocks(ready, block_bytes)) or [[]]
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-        last = k == len(blocks) - 1
-        frame = frame.mapInArrow(_matcher(shared, last), frame.drop("body").schema if last else frame.schema)
-    return frame.select(*(F.col(n).alias(k) for k, n in zip(kept, inner, strict=True)), "n_words", "spans", "items")
-
-
-def _matcher(shared, last: bool):
+    blocks = _blocks(ready, window, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+
+    def found_schema(before: T.StructType) -> T.StructType:
+        return before.add("n_words", T.LongType()).add("spans", _FOUND).add("items", T.ArrayType(T.StringType()))
+
+    schema = found_schema(frame.drop("body").schema)
+    if second is None:
+        found = frame.mapInArrow(_matcher(spark.sparkContext.broadcast(Automaton(first, window))), schema)
+    else:
+        keys = {"k1": F.xxhash64("body"), "k2": F.xxhash64("body", F.lit(1))}
+        texts, scratch, parts = frame.withColumns(keys).select("k1", "k2", "body"), Scratch(spark, "benchmark"), []
+        keyed = found_schema(texts.drop("body").schema)
+        for k, block in enumerate(chain((first, second), blocks)):
+            shared = spark.sparkContext.broadcast(Automaton(block, window))
+            hits = texts.mapInArrow(_matcher(shared), keyed).filter(F.size("spans") > 0)
+            parts.append(scratch.write(hits.groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), f"hits{k}"))
+            shared.destroy()
+        hits = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        found = frame.withColumns(keys).join(scratch.write(hits, "hits"), ["k1", "k2"], "left").select(*inner, "body", "spans", "items").mapInArrow(_gathered, schema)
+        scratch.drop(*(f"hits{k}" for k in range(len(parts))))
+    return found.select(*(F.col(n).alias(k) for k, n in zip(kept, inner, strict=True)), "n_words", "spans", "items")
+
+
+def _matcher(shared):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             counts, spans, items = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (old, names) in zip(batch.column("body").to_pylist(), before, strict=True):
+            for text in batch.column("body").to_pylist():
                 words = normalised_words(text)
                 now, found = automaton.hits(words)
                 counts.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in (_merged(now, [(x["start"], x["end"]) for x in old]) if old else now)])
-                items.append(sorted({*names, *(x for x in found if x is not None)}))
-            done = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
-            names = [n for n in batch.schema.names if not (last and n == "body")]
-            yield pa.RecordBatch.from_arrays([done.get(n, batch.column(n)) for n in names], names=names)
+                spans.append([{"start": s, "end": e} for s, e in now])
+                items.append(sorted(x for x in found if x is not None))
+            yield _with_found(batch.drop_columns(["body"]), counts, spans, items)
 
     return match
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the blocks found of each text, merged; and its number of words."""
+    for batch in batches:
+        counts = [len(normalised_words(t)) for t in batch.column("body").to_pylist()]
+        spans = [[{"start": s, "end": e} for s, e in _merged([(x["start"], x["end"]) for x in held or ()])] for held in batch.column("spans").to_pylist()]
+        items = [sorted(set(held or ())) for held in batch.column("items").to_pylist()]
+        yield _with_found(batch.drop_columns(["body", "spans", "items"]), counts, spans, items)
+
+
+def _with_found(batch: pa.RecordBatch, counts: list, spans: list, items: list) -> pa.RecordBatch:
+    done = [pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*batch.columns, *done], names=[*batch.schema.names, "n_words", "spans", "items"])
+
+
 def n_hit(spans: str | Column = "spans") -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
