@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.llm.common import prepare, text_bytes
 
@@ -51,13 +52,58 @@ class Page:
 
 @dataclass
 class Stream:
-    """What one logical stream holds; granules has the position that each packet's last page gives, or -1."""
+    """What one logical stream holds; granules has the position that each packet's last page gives, or -1, and follows
+    says whether a packet stands right behind the one before it. gaps counts the places where pages are missing."""
 
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)
+    follows: list[bool] = field(default_factory=list)
     pages: int = 0
     gaps: int = 0
     ended: bool = False
+    #: Segments so far of a packet that goes on, the next page's number, whether a cut packet's rest is being passed over,
+    #: and whether the next packet stands right behind the last one.
+    parts: list[bytes] = field(default_factory=list)
+    due: int = 0
+    skipping: bool = False
+    joined: bool = True
+
+    def take(self, page: Page) -> None:
+        """Add the packets that end in a page."""
+        if page.sequence != self.due:
+            self.gaps += 1
+        if page.flags & CONTINUED:
+            cut = page.sequence != self.due or not (self.parts or self.skipping)
+            self.skipping |= cut
+        else:
+            cut = page.sequence != self.due or bool(self.parts)
+            self.skipping = False
+        if cut:
+            self.parts.clear()
+            self.joined = False
+        self.due = page.sequence + 1
+        self.pages += 1
+        self.ended |= bool(page.flags & LAST)
+        at, first = 0, len(self.packets)
+        for lace in page.segments:
+            if not self.skipping:
+                self.parts.append(page.body[at : at + lace])
+            at += lace
+            if lace < 255:
+                if not self.skipping:
+                    self.packets.append(b"".join(self.parts))
+                    self.granules.append(-1)
+                    self.follows.append(self.joined)
+                    self.joined = True
+                self.parts.clear()
+                self.skipping = False
+        if len(self.packets) > first and page.granule >= 0:
+            self.granules[-1] = page.granule
+
+    def close(self) -> None:
+        """No page follows; a stream without its last page has a gap there."""
+        self.gaps += not self.ended
+        self.parts.clear()
 
 
 def page_bytes(page: Page) -> bytes:
@@ -137,74 +183,63 @@ def read_pages(raw: bytes) -> Iterator[tuple[Page | None, int]]:
 def demultiplex(raw: bytes) -> tuple[dict[int, Stream], int]:
     """Logical streams by serial number, and the number of damaged pages.
 
-    A packet that a damaged or missing page cuts is left out and counted in its stream's gaps.
+    A packet that a damaged or missing page cuts is left out. Any jump in a stream's page numbers counts as one of its
+    gaps, and so does a missing last page.
     """
     streams: dict[int, Stream] = {}
-    open_parts: dict[int, list[bytes]] = {}
-    due: dict[int, int] = {}
     damaged = 0
     for page, _ in read_pages(raw):
         if page is None:
             damaged += 1
-            continue
-        stream = streams.setdefault(page.serial, Stream())
-        parts = open_parts.setdefault(page.serial, [])
-        intact = page.sequence == due.get(page.serial, 0)
-        due[page.serial] = page.sequence + 1
-        skip = False
-        if parts and not (intact and page.flags & CONTINUED):
-            parts.clear()
-            stream.gaps += 1
-        elif page.flags & CONTINUED and not parts:
-            skip = True
-            stream.gaps += 1
-        stream.pages += 1
-        stream.ended |= bool(page.flags & LAST)
-        at, first = 0, len(stream.packets)
-        for lace in page.segments:
-            parts.append(page.body[at : at + lace])
-            at += lace
-            if lace < 255:
-                if not skip:
-                    stream.packets.append(b"".join(parts))
-                    stream.granules.append(-1)
-                parts.clear()
-                skip = False
-        if len(stream.packets) > first and page.granule >= 0:
-            stream.granules[-1] = page.granule
+        else:
+            streams.setdefault(page.serial, Stream()).take(page)
+    for stream in streams.values():
+        stream.close()
     return streams, damaged
 
 
 @dataclass
 class Media:
+    """A file's samples, their length before padding, the seconds at which each packet of samples ends, and counts."""
+
     payload: bytes
     plain: int
-    duration: float
+    times: list[float | None]
     packets: int
     pages: int
     damaged: int
+    gaps: int
+
+    @property
+    def duration(self) -> float:
+        return next((t for t in reversed(self.times) if t is not None), 0.0)
 
 
-def packet_times(stream: Stream, rate: int = RATE, frame: int = FRAME) -> list[float]:
-    """Seconds at which each packet of samples ends, counted back from the granule positions that pages give."""
-    times, known = [0.0] * len(stream.packets), None
-    for i in range(len(stream.packets) - 1, 0, -1):
-        known = stream.granules[i] if stream.granules[i] >= 0 else (known - len(stream.packets[i + 1]) if known is not None else i * frame)
-        times[i] = known / rate
-    return times
+def packet_ends(stream: Stream) -> list[int | None]:
+    """The sample at which each packet ends: what pages give, and counted from there over packets that follow each other.
+
+    None where a gap leaves it unknown.
+    """
+    ends: list[int | None] = [g if g >= 0 else None for g in stream.granules]
+    for i in range(len(ends) - 2, -1, -1):
+        if ends[i] is None and ends[i + 1] is not None and stream.follows[i + 1]:
+            ends[i] = ends[i + 1] - len(stream.packets[i + 1])
+    for i in range(1, len(ends)):
+        if ends[i] is None and ends[i - 1] is not None and stream.follows[i]:
+            ends[i] = ends[i - 1] + len(stream.packets[i])
+    return ends
 
 
 def read_payload(raw: bytes) -> Media:
-    """The samples of a file from write_payload(); damaged files give what is intact."""
+    """The samples of a file from write_payload(); damaged files give what is intact, at RATE if the header is lost."""
     streams, damaged = demultiplex(raw)
     audio, meta = streams.get(AUDIO, Stream()), streams.get(META, Stream())
-    if not audio.packets or not audio.packets[0].startswith(AUDIO_MAGIC):
-        return Media(b"", 0, 0.0, 0, audio.pages + meta.pages, damaged)
-    rate = struct.unpack_from("<I", audio.packets[0], len(AUDIO_MAGIC))[0]
-    payload = b"".join(audio.packets[1:])
-    plain = struct.unpack_from("<Q", meta.packets[1])[0] if len(meta.packets) > 1 else len(payload)
-    times = packet_times(audio, rate)
-    return Media(payload, plain, times[-1] if len(times) > 1 else 0.0, len(audio.packets) - 1, audio.pages + meta.pages, damaged)
+    head = bool(audio.packets) and audio.packets[0].startswith(AUDIO_MAGIC)
+    rate = struct.unpack_from("<I", audio.packets[0], len(AUDIO_MAGIC))[0] if head else RATE
+    packets, ends = audio.packets[head:], packet_ends(audio)[head:]
+    payload = b"".join(packets)
+    plain = next((struct.unpack("<QQ", p)[0] for p in meta.packets if len(p) == 16), len(payload))
+    return Media(payload, plain, [None if e is None else e / rate for e in ends], len(packets), audio.pages + meta.pages, damaged, audio.gaps + meta.gaps)
 
 
 def pad(text: bytes) -> bytes:
@@ -238,13 +273,17 @@ def encode(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def decode(stored: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with `media` -> the kept columns, n_bytes, payload, duration, packets, pages, damaged, feature.
+    """Rows with `media` -> the kept columns, n_bytes, payload, duration, times, packets, pages, damaged, gaps, feature.
 
-    A null or damaged file gives what is intact of it, possibly nothing; `damaged` counts the refuted pages.
+    times has the seconds at which each packet ends, null where a gap leaves it unknown. A null or damaged file gives
+    what is intact of it, possibly nothing; `damaged` counts the refuted pages, `gaps` the places where pages are missing.
     """
     prepare(stored.sparkSession)
     frame = stored.select(*keep, F.coalesce("media", F.lit(b"")).alias("media"))
-    schema = frame.select("*").schema.add("n_bytes", "long").add("payload", "binary").add("duration", "double").add("packets", "long").add("pages", "long").add("damaged", "long").add("feature", "string")
+    schema = frame.select("*").schema.add("n_bytes", "long").add("payload", "binary").add("duration", "double").add("times", T.ArrayType(T.DoubleType()))
+    for name in ("packets", "pages", "damaged", "gaps"):
+        schema = schema.add(name, "long")
+    schema = schema.add("feature", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +292,8 @@ def decode(stored: DataFrame, keep: list[str]) -> DataFrame:
                 pa.array([m.plain for m in found], pa.int64()),
                 pa.array([m.payload for m in found], pa.binary()),
                 pa.array([m.duration for m in found], pa.float64()),
-                *(pa.array([getattr(m, k) for m in found], pa.int64()) for k in ("packets", "pages", "damaged")),
+                pa.array([m.times for m in found], pa.list_(pa.float64())),
+                *(pa.array([getattr(m, k) for m in found], pa.int64()) for k in ("packets", "pages", "damaged", "gaps")),
                 pa.array([feature(m) for m in found], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)

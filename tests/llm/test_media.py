@@ -51,6 +51,42 @@ def test_damage_is_noticed_and_skipped():
         assert ogg.read_payload(junk).payload == b""
 
 
+@pytest.mark.parametrize("sizes", [[2000], [576] * 6, [2000, 100, 3000, 510, 0, 700]])
+def test_each_lost_page_costs_its_packets_alone(sizes):
+    """Pages of at most two segments, so that packets run over three and more; whatever page is lost, no cut packet is returned."""
+    rng = random.Random(11)
+    packets = [b"head", *(rng.randbytes(n) for n in sizes)]
+    ends = [sum(sizes[:k]) for k in range(len(packets))]
+    pages = ogg.paginate(1, packets, ends, most=2)
+    assert len(pages) > 4
+    held, k = [], 0  # the packets that each page holds a part of
+    for page in pages:
+        held.append(set())
+        for lace in page.segments:
+            held[-1].add(k)
+            k += lace < 255
+    for lost in [{i} for i in range(len(pages))] + [{i, i + 2} for i in range(len(pages) - 2)]:
+        streams, damaged = ogg.demultiplex(b"".join(ogg.page_bytes(p) for i, p in enumerate(pages) if i not in lost))
+        cut = set().union(*(held[i] for i in lost))
+        whole = [k for k in range(len(packets)) if k not in cut]
+        assert streams[1].packets == [packets[k] for k in whole] and streams[1].gaps == len(lost) and not damaged
+        known = ogg.packet_ends(streams[1])
+        assert all(e in (None, ends[k]) for e, k in zip(known, whole, strict=True))
+    streams, _ = ogg.demultiplex(b"".join(map(ogg.page_bytes, pages)))
+    assert streams[1].gaps == 0 and ogg.packet_ends(streams[1]) == ends
+
+
 def test_granules_give_times():
-    stream = ogg.Stream([b"h", b"a" * 576, b"b" * 576, b"c" * 100], [-1, -1, -1, 1252])
-    assert ogg.packet_times(stream) == [0.0, 576 / 8000, 1152 / 8000, 1252 / 8000]
+    stream = ogg.Stream([b"h", b"a" * 576, b"b" * 576, b"c" * 100, b"d" * 7], [-1, -1, -1, 1252, -1], [True, True, False, True, False])
+    assert ogg.packet_ends(stream) == [None, None, 1152, 1252, None]
+    media = ogg.read_payload(ogg.write_payload(ogg.pad(b"x" * 1200), 1200))
+    assert media.times == [576 / 8000, 1152 / 8000, 1728 / 8000] and media.duration == 1728 / 8000
+
+
+def test_columns_of_damaged_files(spark):
+    raw = ogg.write_payload(ogg.pad(b"ab" * 300), 600)
+    rows = spark.createDataFrame([(1, raw), (2, raw[:-1]), (3, None), (4, b"junk")], "id long, media binary")
+    got = {r.id: r for r in ogg.decode(rows, ["id"]).collect()}
+    assert got[1].times == [576 / 8000, 1152 / 8000] and (got[1].gaps, got[1].damaged, got[1].n_bytes) == (0, 0, 600)
+    assert got[2].damaged == 1 and got[2].gaps == 1
+    assert got[3].payload == got[4].payload == b"" and got[3].times == []
