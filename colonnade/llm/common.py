@@ -46,10 +46,10 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        self._go_at_exit()
+        self.go_at_exit()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _go_at_exit(self) -> None:
+    def go_at_exit(self) -> None:
         """Results may read the tables as long as the application lives; then they go."""
         if not self.leaving:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)

@@ -1,17 +1,23 @@
 """Removal of repeated passages by a log-structured index of window fingerprints.
 
 A window is WINDOW consecutive words. Each window is filed under the smallest of its GRAM-word hashes (its anchor),
-which equal windows share; consecutive windows with one anchor make a span. The index holds a row (anchor, span
-hash, count) per distinct span: about a tenth of all windows, so that the whole corpus can be indexed. Runs are
-immutable, bucketed and sorted by anchor; a new batch's run is merge-joined with the historical one, and the two are
-compacted into the next. A span whose pair of independent 64-bit hashes occurs twice repeats whole. Where an anchor
-has spans that differ (the ends of shared passages), its windows are compared one by one.
+which equal windows share; consecutive windows with one anchor make a span. A run holds a row (anchor, span hash, count)
+per distinct span: about a tenth of all windows, so that the whole corpus can be indexed. Runs are immutable, bucketed
+and sorted by anchor; a new batch's run is merge-joined with the historical ones, and runs of like size are compacted
+into one. An index is a folder that can be opened again: its manifest names the runs and batches, and moves by a rename.
+
+A span that occurs twice is a candidate. Where an anchor has spans that differ (the ends of shared passages), each
+distinct span's windows are candidates one by one. Candidates are verified by digests of the words themselves.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import Scratch, text_bytes
+from colonnade.llm.common import Scratch, prepare, text_bytes
+from colonnade.sources.store import Files
 
 WINDOW, GRAM = 35, 16
-#: Batches in which one call takes its table into the index, and buckets of a run.
-BATCHES, BUCKETS = 2, 64
+#: Batches in which one call takes its table into the index; rows that a run's bucket is meant to hold, and how many buckets.
+BATCHES, BUCKET_ROWS, BUCKETS = 2, 1 << 20, (32, 1 << 16)
+#: A run is compacted with the one before it unless that holds this many times its rows.
+FANOUT = 2
 #: Odd multipliers of the rolling hashes, and of the mixer.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -104,37 +113,64 @@ _SPAN_SCHEMA = "k1 long, k2 long, spans array<struct<h:bigint,s:bigint,a:int,c:i
 
 
 class SpanIndex:
-    """Runs (h, s, n): sorted immutable tables, bucketed by h, of the spans of all batches so far."""
+    """Runs (h, s, n): sorted immutable tables, bucketed by h, of the spans of all batches so far.
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int = BUCKETS):
-        self.spark, self.scratch, self.buckets = spark, scratch, buckets
-        self.run: str | None = None
+    The folder's manifest names the runs, oldest first, and the batches that they hold; opening the folder goes on from there.
+    A batch is in the index from the moment that the manifest names it, or not at all.
+    """
 
-    def _write_run(self, rows: DataFrame) -> str:
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows, self.files = spark, path.rstrip("/"), bucket_rows, Files(spark)
+        text = self.files.read(f"{self.path}/MANIFEST.json")
+        held = json.loads(text) if text else {"runs": [], "batches": []}
+        self.runs: list[dict] = held["runs"]
+        self.batches: list[str] = held["batches"]
+        for run in self.runs:
+            self._register(run)
+
+    def _register(self, run: dict) -> None:
+        place = f"{self.path}/{run['name']}".replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run['name']} (h BIGINT, s BIGINT, n BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h, s) INTO {run['buckets']} BUCKETS LOCATION '{place}'")
+
+    def _buckets(self, rows: int) -> int:
+        """At least as many as the largest run's, so that runs join without being dealt anew; more as the index grows."""
+        held = max((r["buckets"] for r in self.runs), default=BUCKETS[0])
+        return min(BUCKETS[1], max(held, 1 << math.ceil(math.log2(max(1, rows / self.bucket_rows)))))
+
+    def _write_run(self, rows: DataFrame, buckets: int) -> dict:
         name = f"span_run_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, "h")
-        dealt.write.bucketBy(self.buckets, "h").sortBy("h", "s").option("path", f"{self.scratch.base}/{name}").option("compression", "zstd").saveAsTable(name)
-        return name
-
-    def _drop_run(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.scratch.drop(name)
-
-    def ingest(self, batch: DataFrame) -> None:
-        """Add a batch of spans (h, s): its run is merged with the historical one, which it replaces."""
-        new = self._write_run(batch.groupBy("h", "s").agg(F.count("*").alias("n")))
-        if self.run is None:
-            self.run = new
-            return
-        old, self.run = self.run, None
-        both = self.spark.table(old).alias("o").join(self.spark.table(new).alias("b").hint("merge"), ["h", "s"], "full_outer")
-        total = F.coalesce("o.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
-        self.run = self._write_run(both.select("h", "s", total.alias("n")))
-        self._drop_run(old)
-        self._drop_run(new)
+        dealt = rows.repartition(buckets, "h")
+        dealt.write.bucketBy(buckets, "h").sortBy("h", "s").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        return {"name": name, "rows": self.spark.table(name).count(), "buckets": buckets}
+
+    def _merged(self, runs: list[dict]) -> DataFrame:
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            joined = a.alias("o").join(b.alias("b").hint("merge"), ["h", "s"], "full_outer")
+            return joined.select("h", "s", (F.coalesce("o.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"))
+
+        return reduce(both, (self.spark.table(r["name"]) for r in runs))
+
+    def ingest(self, batch: DataFrame, name: str = "", rows: int | None = None) -> None:
+        """Add a batch of spans (h, s); runs of like size are compacted. rows: the batch's number, where it is known."""
+        rows = batch.count() if rows is None else rows
+        runs = [*self.runs, self._write_run(batch.groupBy("h", "s").agg(F.count("*").alias("n")), self._buckets(rows))]
+        gone = []
+        while len(runs) > 1 and runs[-2]["rows"] < FANOUT * runs[-1]["rows"]:
+            two = runs[-2:]
+            gone += two
+            runs[-2:] = [self._write_run(self._merged(two), self._buckets(sum(r["rows"] for r in two)))]
+        self.runs, self.batches = runs, [*self.batches, name]
+        self.files.replace(f"{self.path}/MANIFEST.json", json.dumps({"runs": self.runs, "batches": self.batches}))
+        for run in gone:
+            self._drop_run(run)
+
+    def _drop_run(self, run: dict) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
+        self.files.delete(f"{self.path}/{run['name']}")
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.run)
+        """All runs, merge-joined."""
+        return self._merged(self.runs) if self.runs else self.spark.createDataFrame([], "h long, s long, n long")
 
     def repeated(self) -> DataFrame:
         """(h, s, whole, mixed) of anchors that occur twice: does the span repeat whole, are there others?"""
@@ -143,25 +179,35 @@ class SpanIndex:
         return rows.join(anchors, "h").select("h", "s", (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("mixed"))
 
     def close(self) -> None:
-        if self.run:
-            self._drop_run(self.run)
+        """Forget the runs' names in this session; the folder stays."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
+
+
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    held = blake2b(b" ".join(words), digest_size=16).digest()
+    return int.from_bytes(held[:8], "little", signed=True), int.from_bytes(held[8:], "little", signed=True)
+
 
+def _candidates(window: int):
+    """Spans to verify -> a row for each whole span and each single window: place, digest of its words, times it counts."""
 
-def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [])
+            out: list[tuple] = []
             for k1, k2, body, found in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "body", "spans")), strict=True):
                 words = body.split()
-                starts = np.concatenate([np.arange(f["a"], f["a"] + f["c"]) for f in found])
-                hashes = _Rolling(word_hashes(words), _BASES[1]).of(starts, starts + window).view(np.int64)
-                anchors = np.repeat(np.array([f["h"] for f in found], np.int64), [f["c"] for f in found])
-                for column, part in zip(out, (np.full(len(starts), k1), np.full(len(starts), k2), anchors, hashes, starts), strict=True):
-                    column.append(part)
-            if out[0]:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                arrays = [pa.array(np.concatenate(c).astype(np.int64)).cast(t) for c, t in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "h", "w", "a"])
+                for f in found:
+                    a, c = f["a"], f["c"]
+                    if f["whole"]:
+                        out.append((k1, k2, a, c, *_digest(words[a : a + c + window - 1]), 1))
+                    if f["singly"]:
+                        # a span that repeats whole stands here for all its copies, and its place needs no further mark
+                        place, times = (0, 2) if f["whole"] else (1, 1)
+                        out += [(k1, k2, i, place, *_digest(words[i : i + window]), times) for i in range(a, a + c)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "a", "c", "d1", "d2", "times"])
 
     return run
 
@@ -171,28 +217,77 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1))})
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """docs (doc_id, text) -> (k1, k2, ranges): the windows (a, c: first and count) of each key that also start elsewhere."""
-    spark = docs.sparkSession
-    bodies = _keyed(docs.select("doc_id", "text")).select("k1", "k2", text_bytes().alias("body"))
-    filed = scratch.write(bodies.mapInArrow(_span_rows(window, gram), _SPAN_SCHEMA).filter("size(spans) > 0"), "spans")
-    exploded = filed.select("k1", "k2", F.explode("spans").alias("x")).select("k1", "k2", "x.*")
-    index = SpanIndex(spark, scratch)
-    for k in range(batches):
-        index.ingest(exploded.filter(F.pmod("k1", F.lit(batches)) == k).select("h", "s"))
-    marked = scratch.write(exploded.join(index.repeated(), ["h", "s"]).select("k1", "k2", "h", "a", "c", "whole", "mixed"), "marked")
-    scratch.drop("spans")
-    index.close()
-    mixed = marked.filter("mixed").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "c")).alias("spans"))
-    # rows that share a key compare their windows too: they are joined, not merged
-    windows = scratch.write(bodies.join(mixed, ["k1", "k2"]).mapInArrow(_window_rows(window), "k1 long, k2 long, h long, w long, a int"), "windows")
-    # written, so that the join below deals both sides anew and can split a passage that very many texts share
-    twice = scratch.write(windows.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w"), "twice")
-    single = windows.join(twice, ["h", "w"]).select("k1", "k2", "a", F.lit(1).alias("c"))
-    ranges = marked.filter("whole").select("k1", "k2", "a", "c").union(single)
-    out = scratch.write(ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "c")).alias("ranges")), "ranges")
-    scratch.drop("marked", "windows", "twice")
-    return out
+class PassageIndex:
+    """Documents taken in batch by batch, in this session or later ones, and what remains of them without repeated passages.
+
+    The folder holds each batch's documents and spans, and the runs of a SpanIndex over all of them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM):
+        prepare(spark)
+        self.spark, self.path, self.window, self.gram = spark, path.rstrip("/"), window, gram
+        self.index = SpanIndex(spark, f"{self.path}/spans")
+        self.scratch = Scratch(spark, "substring")
+
+    def _table(self, kind: str, batch: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{batch}/{kind}")
+
+    def _all(self, kind: str, batches: list[str], schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, (self._table(kind, b, schema) for b in batches))
+
+    def ingest(self, docs: DataFrame) -> str:
+        """Take a batch of docs (doc_id, text) in; gives its name."""
+        name = f"batch-{uuid.uuid4().hex}"
+        rows = _keyed(docs.select("doc_id", "text")).select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/{name}/documents")
+        bodies = self._table("documents", name, _DOCUMENTS).select("k1", "k2", "body")
+        bodies.mapInArrow(_span_rows(self.window, self.gram), _SPAN_SCHEMA).filter("size(spans) > 0").write.option("compression", "zstd").parquet(f"{self.path}/{name}/spans")
+        filed = self._table("spans", name, _SPAN_SCHEMA)
+        count = filed.agg(F.sum(F.size("spans"))).first()[0] or 0
+        self.index.ingest(filed.select(F.explode("spans").alias("x")).select("x.h", "x.s"), name, count)
+        return name
+
+    def repeated_windows(self) -> DataFrame:
+        """(k1, k2, ranges): the windows (a, c: first and count) of each key that also start elsewhere."""
+        scratch = self.scratch
+        batches = self.index.batches
+        exploded = self._all("spans", batches, _SPAN_SCHEMA).select("k1", "k2", F.explode("spans").alias("x")).select("k1", "k2", "x.*")
+        marked = scratch.write(exploded.join(self.index.repeated(), ["h", "s"]), "marked")
+        # of a whole span among others one copy is compared window by window, for all of its copies
+        stands = marked.filter("whole and mixed").groupBy("h", "s").agg(F.min(F.struct("k1", "k2", "a")).alias("first"))
+        stands = stands.select("first.*", F.lit(True).alias("stands"))
+        # a whole span's copy may be another's place too, but no two spans of a text start at the same word
+        units = marked.join(stands, ["k1", "k2", "a"], "left").withColumn("singly", F.col("mixed") & (~F.col("whole") | F.coalesce("stands", F.lit(False))))
+        todo = units.filter("whole or singly").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "c", "whole", "singly")).alias("spans"))
+        # rows that share a key compare their windows too: they are joined, not merged
+        bodies = self._all("documents", batches, _DOCUMENTS).select("k1", "k2", "body")
+        found = bodies.join(todo, ["k1", "k2"]).mapInArrow(_candidates(self.window), "k1 long, k2 long, a int, c int, d1 long, d2 long, times int")
+        found = scratch.write(found, "candidates")
+        # written, so that the join below deals both sides anew and can split a passage that very many texts share
+        twice = scratch.write(found.groupBy("d1", "d2").agg(F.sum("times").alias("n")).filter("n > 1").select("d1", "d2"), "twice")
+        ranges = found.filter("c > 0").join(twice, ["d1", "d2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "c")).alias("ranges"))
+        out = scratch.write(ranges, "ranges")
+        scratch.drop("marked", "candidates", "twice")
+        return out
+
+    def kept(self, batches: list[str] | None = None) -> DataFrame:
+        """A row per row of the batches (default: all): doc_id, n_words, n_removed, kept; windows of any batch count as elsewhere."""
+        chosen = self.index.batches if batches is None else batches
+        if not chosen:
+            return self.spark.createDataFrame([], _KEPT)
+        joined = self._all("documents", chosen, _DOCUMENTS).join(self.repeated_windows(), ["k1", "k2"], "left").select("doc_id", "body", "ranges")
+        return joined.mapInArrow(_remover(self.window), _KEPT)
+
+    def drop_spans(self) -> None:
+        """Delete what only later batches would need."""
+        for batch in self.index.batches:
+            self.index.files.delete(f"{self.path}/{batch}/spans")
+        for run in self.index.runs:
+            self.index._drop_run(run)
+
+
+_DOCUMENTS = "k1 long, k2 long, doc_id long, body binary"
+_KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def _remover(window: int):
@@ -223,8 +318,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     fewer words than a window are kept. Rows that repeat whole lose all words if they have a window. An empty table
     gives none.
     """
-    scratch = Scratch(docs.sparkSession, "substring")
-    ranges = repeated_windows(docs, scratch, window, gram, batches)
-    rows = _keyed(docs.select("doc_id", "text")).select("k1", "k2", F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    joined = rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "body", "ranges")
-    return joined.mapInArrow(_remover(window), "doc_id long, n_words long, n_removed long, kept string")
+    scratch = Scratch(docs.sparkSession, "passages")
+    index = PassageIndex(docs.sparkSession, f"{scratch.base}/index", window, gram)
+    scratch.go_at_exit()
+    for k in range(batches):
+        index.ingest(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == k))
+    kept = index.kept()
+    index.drop_spans()
+    return kept

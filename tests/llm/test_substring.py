@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from colonnade.llm import substring_dedup as sub
-from colonnade.llm.common import Scratch
 
 
 def texts(rng, n, letters):
@@ -52,15 +51,48 @@ def test_spans_cover_all_windows():
     assert all(len(x) == 0 for x in sub.spans(words[:34], 35, 16))
 
 
-def test_runs_merge_batch_by_batch(spark):
-    index = sub.SpanIndex(spark, Scratch(spark, "test-runs"), buckets=4)
-    for batch in ([(1, 1), (1, 1), (2, 5)], [(1, 1), (3, 3)], [(2, 6), (3, 3)]):
+def test_runs_merge_batch_by_batch(spark, tmp_path):
+    batches = ([(1, 1), (1, 1), (2, 5)], [(1, 1), (3, 3)], [(2, 6), (3, 3)], [(9, 9)])
+    for batch in batches:
+        index = sub.SpanIndex(spark, f"file://{tmp_path}/runs", bucket_rows=1)  # opened again for each
         index.ingest(spark.createDataFrame(batch, "h long, s long"))
-    assert sorted(tuple(r) for r in index.rows().collect()) == [(1, 1, 3), (2, 5, 1), (2, 6, 1), (3, 3, 2)]
+        index.close()
+    index = sub.SpanIndex(spark, f"file://{tmp_path}/runs")
+    assert len(index.batches) == 4 and 1 < len(index.runs) < 4
+    assert len([x for x in (tmp_path / "runs").iterdir() if x.name.startswith("span_run")]) == len(index.runs)
+    assert sorted(tuple(r) for r in index.rows().collect()) == [(1, 1, 3), (2, 5, 1), (2, 6, 1), (3, 3, 2), (9, 9, 1)]
     assert sorted(tuple(r) for r in index.repeated().collect()) == [(1, 1, True, False), (2, 5, False, True), (2, 6, False, True), (3, 3, True, False)]
     index.close()
 
 
+def test_later_batches_are_held_against_earlier_ones(spark, tmp_path):
+    """Batches taken in by three indexes that are opened one after the other, the last in another session."""
+    rng = random.Random(9)
+    some = list(enumerate(texts(rng, 60, "abcdefgh") + texts(rng, 60, [f"w{i}" for i in range(300)])))
+    some += [some[3], some[3], some[100], (None, some[5][1]), (None, None)]
+    rng.shuffle(some)
+    names = []
+    for k, session in enumerate((spark, spark, spark.newSession())):
+        index = sub.PassageIndex(session, f"file://{tmp_path}/index", 6, 3)
+        names.append(index.ingest(session.createDataFrame(some[k::3], "doc_id long, text string")))
+        index.index.close()
+    index = sub.PassageIndex(spark, f"file://{tmp_path}/index", 6, 3)
+    plain = [(i, *r) for (i, _), r in zip(some, brute.kept_words([t for _, t in some], 6), strict=True)]
+    assert sorted((tuple(r) for r in index.kept().collect()), key=repr) == sorted(plain, key=repr)
+    last = [x for k, x in enumerate(plain) if k % 3 == 2]
+    assert sorted((tuple(r) for r in index.kept([names[2]]).collect()), key=repr) == sorted(last, key=repr)
+    index.index.close()
+
+
+def test_rows_that_repeat_whole_cost_no_more_each(spark):
+    text = " ".join(f"r{i}" for i in range(400))
+    docs = spark.range(600).selectExpr("7L AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(8, f"new {text[:200]}")], "doc_id long, text string"))
+    got = sub.remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    words = len(text[:200].split())
+    # the last word of the excerpt is cut
+    assert sorted(tuple(r) for r in got) == [(7, 400, 400, 600), (8, words + 1, words - 1, 1)]
+
+
 def test_a_passage_that_a_third_of_all_texts_share(spark):
     passage = " ".join(f"p{i}" for i in range(50))
     some = [f"u{k} v{k} {passage} z{k}" if k % 3 == 0 else " ".join(f"{k}x{i}" for i in range(50)) for k in range(900)]
