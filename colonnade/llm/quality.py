@@ -77,8 +77,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), ids, shares], names=["doc_id", "label", "ids", "shares"])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
-    """(feature ids, shares, label) -> a weight for each feature, and the bias, of the log odds of label 1."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature ids, shares, label) -> vectors of features, output matrix and bias of the softmax."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -99,6 +99,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
             bias -= rate * 0.1 * p
             # a vector moves by its share of the mean; the factor makes up for how small single shares are
             vectors[ids] = mine - (rate * 30) * shares[:, None] * back
+    return vectors, out, bias
+
+
+def folded(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, float]:
+    """A weight for each feature, and the bias, of the log odds of label 1."""
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -132,7 +137,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from the labelled documents outside the held-out third; labels of a repeated id are averaged.
+    """Learn from the labelled documents outside the held-out third; labels of a repeated id are averaged, and of its
+    texts the one with the smallest hash is learned from, so that at most `sample` rows reach the driver.
 
     Without any usable label every text scores 0.5. Rows without id, quality or text don't train.
     """
@@ -141,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    chosen = texts.filter("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "label", text_bytes().alias("body"))
+    chosen = texts.filter("text is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by(text_bytes(), F.xxhash64("text")).alias("body"))
     got = chosen.mapInArrow(_examples, "doc_id long, label int, ids array<int>, shares array<float>").toArrow()
     rows = []
     for i in np.argsort(got.column("doc_id").to_numpy(), kind="stable"):
@@ -150,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows.append((ids, np.asarray(got.column("shares")[i].values, dtype=np.float32), got.column("label")[i].as_py()))
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    return Model(*train(rows))
+    return Model(*folded(*train(rows)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ def test_separable_texts_are_learned():
     def example(words, label):
         return *quality.shares_of(" ".join(rng.choice(words, 40)).encode()), label
 
-    model = quality.Model(*quality.train([example(good, 1) for _ in range(40)] + [example(bad, 0) for _ in range(40)]))
+    model = quality.Model(*quality.folded(*quality.train([example(good, 1) for _ in range(40)] + [example(bad, 0) for _ in range(40)])))
     fine, bad_one, unseen, empty = model.scores([b"stone house river " * 30, b"buy!! zz$$ xx%% " * 30, b"stones housed " * 30, b""])
     assert fine > 0.9 > 0.1 > bad_one and unseen > 0.5 and 0 <= empty <= 1  # unseen by their character n-grams
 
@@ -53,3 +53,36 @@ def test_held_out_accuracy(spark):
     assert len(rows) > 80 and sum(right) / len(right) > 0.95
     rejected = [r for r in rows if r.quality == 0]
     assert sum(r.score < 0.5 for r in rejected) / len(rejected) > 0.9
+
+
+def test_scores_are_those_of_the_unfolded_softmax():
+    """Word by word: the mean of the vectors of all features, through the output matrix and a softmax over two classes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["aa", "b", "cde", "é", "x%"], n)).encode() for n in (1, 5, 60, 400)] + [b"", b"a a a"]
+    vectors, out, bias = quality.train([(*quality.shares_of(t), k % 2) for k, t in enumerate(texts[:4])])
+
+    def plain(text):
+        found = [vectors[quality.PAD_ID].astype(float)] * quality.PAD
+        last = None
+        for word in text.split():
+            ids, _ = quality.features([quality.SAME if word == last else word])
+            found += [vectors[i].astype(float) for i in ids]
+            last = word
+        logits = np.mean(found, axis=0) @ out + bias
+        return np.exp(logits[1]) / np.exp(logits).sum()
+
+    scores = quality.Model(*quality.folded(vectors, out, bias)).scores(texts)
+    assert scores == pytest.approx([plain(t) for t in texts], abs=1e-5) and len(set(np.round(scores, 6))) > 3
+
+
+def test_a_repeated_id_brings_one_row(spark):
+    docs = spark.range(3000).selectExpr("2L AS doc_id", "concat('text ', id % 700) AS text").unionByName(spark.createDataFrame([(4, "one two"), (4, "one two"), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(2, 1), (4, 0), (2, 1), (None, 0)], "doc_id long, quality int")
+    seen = []
+    kept = quality.train
+    quality.train = lambda rows: seen.extend(rows) or kept(rows)
+    try:
+        quality.fit(docs, labels)
+    finally:
+        quality.train = kept
+    assert len(seen) == sum(quality.zlib.crc32(str(i).encode()) % 3 != 1 for i in (2, 4))
