@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.sources.store import on_one_machine
+
 #: Rows of whole texts that one Arrow batch may hold, so that a Python worker's memory stays bounded.
 BATCH_ROWS = 512
 
@@ -26,9 +28,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset and everything runs in one local process, a temporary folder is set; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not on_one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='colonnade-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

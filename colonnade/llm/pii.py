@@ -1,9 +1,10 @@
 """Personal data: fixed forms as seeds, and bootstrapped contextual extraction from them.
 
-The seeds' contexts (the word before each) are lexical patterns. Patterns and the instances they stand before form a
-graph, scored in rounds: a pattern by the share of known instances among all it stands before, an instance by its
-patterns together. Patterns that reach MIN_CONFIDENCE with MIN_SUPPORT distinct known instances add what they stand
-before, as far as it has the loose form of their kind. All of it is DataFrame work; the graph stays distributed.
+The seeds' contexts are lexical patterns: the word before each, the two words before it, and the words on both sides.
+Patterns and the instances they stand at form a graph, scored in rounds: a pattern by the share of known instances among
+all it stands at, an instance by its patterns together. Patterns that reach MIN_CONFIDENCE with MIN_SUPPORT distinct known
+instances add what they stand at, as far as it has the loose form of their kind. All of it is DataFrame work; the graph
+stays distributed.
 """
 
 from __future__ import annotations
@@ -77,13 +78,22 @@ def _loose(kind: Column, text: Column) -> Column:
     )
 
 
-def _before(text: Column, start: Column) -> Column:
-    """The word before a place, in lower case, '' at a text's start."""
-    return F.lower(F.regexp_extract(F.substring(text, F.greatest(start - 40, F.lit(0)) + 1, F.least(start, F.lit(40))), r"(\S+)\s+$", 1))
+def _patterns(text: Column, start: Column, end: Column) -> Column:
+    """A place's contexts, in lower case: "a _", "a b _" and "b _ c"; those that a text's ends or long words cut are left out."""
+    before = F.lower(F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60))))
+    after = F.lower(F.regexp_extract(F.substring(text, end + 1, F.lit(40)), rf"^{CLOSING}*+\s+(\S++)(?=\s|$)", 1))
+
+    def all_three(near: Column) -> Column:
+        one, two = F.regexp_extract(near, r"(\S+)\s+$", 1), F.regexp_extract(near, r"(\S+\s+\S+)\s+$", 1)
+        longer = F.when(two != "", F.concat(F.regexp_replace(two, r"\s+", " "), F.lit(" _")))
+        both = F.when((one != "") & (after != ""), F.concat(one, F.lit(" _ "), after))
+        return F.array_compact(F.array(F.when(one != "", F.concat(one, F.lit(" _"))), longer, both))
+
+    return let(before, all_three)
 
 
 def _contexts(kind: str, text: Column, found: Column) -> Column:
-    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("value"), _before(text, m["start"]).alias("pattern")))
+    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("value"), _patterns(text, m["start"], m["end"]).alias("patterns")))
 
 
 def _trimmed(found: Column) -> Column:
@@ -140,8 +150,9 @@ def find(docs: DataFrame, name: str = "pii") -> DataFrame:
         _mentions(text, F.col("base")).alias("others"),
     )
     table = scratch.write(kept, "base")
-    seeds = table.select(F.explode("seeds").alias("s")).select("s.*").filter("pattern != ''")
-    loose = table.select("k1", "k2", F.explode("others").alias("o")).select("k1", "k2", "o.*").filter("pattern != ''")
+    fields = ("kind", "start", "end", "value")
+    seeds = table.select(F.explode("seeds").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
+    loose = table.select("k1", "k2", F.explode("others").alias("o")).select("k1", "k2", *(f"o.{f}" for f in fields), F.explode("o.patterns").alias("pattern"))
     loose = scratch.write(loose, "loose")
     edges = scratch.write(seeds.select("kind", "pattern", "value").unionByName(loose.select("kind", "pattern", "value")).groupBy("kind", "pattern", "value").agg(F.count("*").alias("n")), "edges")
     accepted = _graph_scores(seeds, edges, scratch)

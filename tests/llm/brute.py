@@ -1,6 +1,7 @@
 """Plain versions of the operators, a text at a time."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -45,6 +46,34 @@ def pii(text):
     return [(k, m.start(), m.end()) for k, p in PII.items() for m in re.finditer(p, text or "") if pii_fits(k, m[0])]
 
 
+def trusted_edges(seeds, edges, rounds=3, confidence=0.8, support=5):
+    """Edges {(kind, pattern, value): times} of the patterns that the last round trusts; seeds are (kind, value)."""
+    known = {s: 1.0 for s in seeds}
+    for _ in range(rounds):
+        trusted = {}
+        for node in {(k, p) for k, p, _ in edges}:
+            at = [(known.get((k, v), 0.0), n) for (k, p, v), n in edges.items() if (k, p) == node]
+            trust = sum(s * n for s, n in at) / sum(n for _, n in at)
+            if trust >= confidence and sum(s >= confidence for s, _ in at) >= support:
+                trusted[node] = trust
+        known = {s: 1.0 for s in seeds}
+        for k, p, v in edges:
+            if (k, p) in trusted and (k, v) not in seeds:
+                known[k, v] = 1 - (1 - known.get((k, v), 0.0)) * (1 - min(trusted[k, p], 0.99))
+    return {e for e in edges if e[:2] in trusted}
+
+
+def markov(samples, alphabet=128, back_off=1.0):
+    """log probability of a character after another, backed off to how often it comes at all."""
+    pairs = Counter(p for t in samples for p in zip(t, t[1:]))  # noqa: B905
+    firsts, seconds = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        firsts[a] += n
+        seconds[b] += n
+    total = sum(seconds.values()) + 0.5 * alphabet
+    return lambda a, b: math.log((pairs[a, b] + back_off * (seconds[b] + 0.5) / total) / (firsts[a] + back_off))
+
+
 def secrets(text):
     """Spans by start, then kind."""
     fits = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}

@@ -6,6 +6,7 @@ import brute
 from pyspark.sql import functions as F
 
 from colonnade.llm import license_scan, pii, secrets_scan
+from colonnade.llm.common import Scratch
 from colonnade.llm.spans import blanked, matches, replaced, running_most, running_sums, word_count
 
 
@@ -85,6 +86,49 @@ def test_unsure_contexts_find_nothing(spark):
     assert all(not r.spans for r in got)
 
 
+def test_graph_scores_are_those_of_a_plain_graph(spark, tmp_path):
+    rng = random.Random(4)
+    edges = {(rng.choice(["phone", "ip"]), f"p{rng.randrange(25)}", f"v{rng.randrange(60)}"): rng.randrange(1, 5) for _ in range(400)}
+    seeds = {(k, v) for k, _, v in edges if int(v[1:]) % 4}
+    frame = spark.createDataFrame([(*e, n) for e, n in edges.items()], "kind string, pattern string, value string, n long")
+    known = spark.createDataFrame([(*s, "x") for s in sorted(seeds)] * 2, "kind string, value string, pattern string")
+    got = pii._graph_scores(known, frame, Scratch(spark, "test-graph"))
+    accepted = {tuple(r) for r in got.collect()}
+    assert accepted == brute.trusted_edges(seeds, edges) and 0 < len(accepted) < len(edges)
+
+
+def planted_identifiers(rng):
+    """Texts with seeds, unseen identifiers and decoys of like form: (doc_id, text), {(doc_id, start, end) of the unseen}."""
+    words = ["river", "stone", "the", "house", "over", "under", "light", "green", "while", "seven", "quiet"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    seen = {"phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "email": lambda: f"u{digits(5)}@host{digits(3)}.example", "ip": lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}"}
+    unseen = {"phone": lambda: rng.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", digits(9)]), "email": lambda: f"u{digits(5)}(at)host{digits(3)}.example", "ip": lambda: f"10.{digits(2)}.{digits(2)}.x"}
+    frames = {"phone": ["call me on {} today", "her phone: {}", "the phone number {} is hers", "my cell {} or mail"], "email": ["write to {} please", "mail address {} works", "e-mail: {}"], "ip": ["from host {} came", "the gateway {} drops", "ip {}"]}
+    decoys = ["order number {}", "invoice {} was paid", "we counted {} stars", "page {} of it", "isbn {} of the book"]
+    rows, wanted = [], set()
+    for k in range(1500):
+        kind = rng.choice(list(frames))
+        frame = rng.choice(frames[kind])
+        new = rng.random() < 0.12
+        value = (unseen if new else seen)[kind]()
+        head = f"{some(8)} {frame.partition('{}')[0]}"
+        rows.append((k, f"{head}{value}{frame.partition('{}')[2]} {some(6)}"))
+        if new:
+            wanted.add((k, len(head), len(head) + len(value)))
+        rows.append((10000 + k, f"{some(5)} {rng.choice(decoys).format(rng.choice([digits(8), digits(10), digits(12)]))} {some(5)}"))
+    return rows, wanted
+
+
+def test_unseen_identifiers_are_found_and_decoys_left(spark):
+    rows, wanted = planted_identifiers(random.Random(21))
+    base = {i: {(k, s, e) for k, s, e in brute.pii(t)} for i, t in rows}
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    added = {(r.doc_id, s.start, s.end) for r in got for s in r.spans if (s.kind, s.start, s.end) not in base[r.doc_id]}
+    recall, precision = len(added & wanted) / len(wanted), len(added & wanted) / max(1, len(added))
+    assert len(wanted) > 150 and recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
 def test_words_as_one_expression():
     import re
 
@@ -141,3 +185,40 @@ def test_letters_alone_are_scored_too(spark):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, k in enumerate(keys):
         assert got[1000 + i] == [("random", 4, 4 + len(k))], k
+
+
+def test_ratios_are_those_of_plain_models(spark):
+    rng = random.Random(6)
+    samples = [("".join(rng.choice("abcXY12") for _ in range(rng.randrange(2, 30))), rng.random() < 0.5) for _ in range(200)]
+    frame = spark.createDataFrame(samples, "token string, random boolean")
+    folds = {r.token: r.fold for r in frame.select("token", secrets_scan._fold(F.col("token")).alias("fold")).collect()}
+    got = {r.token: r.score for r in frame.select("token", secrets_scan.mean_ratio(F.col("token"), secrets_scan.ratio_table(frame)).alias("score")).collect()}
+    for token, score in got.items():
+        random_model = brute.markov([t for t, r in samples if r])
+        ordinary_model = brute.markov([t for t, r in samples if not r and folds[t] != folds[token]])
+        plain = sum(random_model(a, b) - ordinary_model(a, b) for a, b in zip(token, token[1:])) / (len(token) - 1)  # noqa: B905
+        assert abs(score - plain) < 1e-4, token
+
+
+def planted_tokens(rng):
+    """Random strings of many forms, and ordinary identifiers made of words that the operator isn't given."""
+    words = """apple basket candle dolphin engine forest garden hammer island jacket kettle ladder marble needle orange pencil
+        quarter rabbit saddle timber umbrella valley window yellow zipper blossom carpet desert elephant feather glacier harbor
+        invoice journal kingdom lantern meadow nectar orchard palace""".split()
+    pools = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    keys = ["".join(rng.choice(pool) for _ in range(rng.randrange(18, 44))) for pool in pools for _ in range(60)]
+    plain = []
+    for k in range(600):
+        some = [rng.choice(words) for _ in range(rng.randrange(3, 5))]
+        number = str(rng.randrange(1, 3000))
+        plain.append([lambda: "_".join(some), lambda: "".join(w.title() for w in some), lambda: "-".join(some), lambda: "_".join(some).upper(), lambda: "/".join(["", *some]), lambda: "".join(some) + number, lambda: f"{some[0]}_{some[1]}_{number}_{some[2]}", lambda: str(rng.randrange(10**17, 10**18)), lambda: f"20{rng.randrange(10, 30)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}_{some[0]}_{some[1]}"][k % 9]())
+    return keys, [p for p in plain if len(p) >= secrets_scan.MIN_TOKEN]
+
+
+def test_random_strings_are_told_from_identifiers(spark):
+    keys, plain = planted_tokens(random.Random(8))
+    rows = [(i, f"see {t} here") for i, t in enumerate(keys + plain)]
+    got = secrets_scan.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", F.size("spans").alias("n")).collect()
+    found = {r.doc_id for r in got if r.n}
+    recall, precision = len([i for i in found if i < len(keys)]) / len(keys), len([i for i in found if i < len(keys)]) / max(1, len(found))
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision, [rows[i] for i in sorted(found) if i >= len(keys)][:20], [rows[i] for i in range(len(keys)) if i not in found][:20])
