@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.errors import InvalidRequest
 from colonnade.functions.token import token
 from colonnade.operators.mutate import empty_rows, stored_schema
 from colonnade.operators.predicates import TOKEN
@@ -21,9 +22,16 @@ from colonnade.plans.catalog import Catalog, Table
 SHARDS, SHARD = 8, "_shard"
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether executors are threads of the driver, so that its own folders are theirs."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder beside the cluster's checkpoints, or where none are set up a temporary one; it goes with the application."""
+    """A new folder beside the cluster's checkpoints; in one local process without any, a temporary one. It goes with the application."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not on_one_machine(spark):
+        raise InvalidRequest("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='colonnade-tables-')}"
     shown = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = shown.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -32,6 +40,12 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system; one without any lies in Spark's default one, which on a cluster is shared."""
+    shown = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return shown.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(shown).toString().rstrip("/")
+
+
 class Files:
     """The few file operations a store needs, by Hadoop's file system."""
 
@@ -83,7 +97,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, shards: int = SHARDS):
         self.spark, self.files, self.shards = spark, Files(spark), shards
-        self.root = root.rstrip("/") if "://" in root or root.startswith("file:") else f"file://{root.rstrip('/')}"
+        self.root = qualified(spark, root)
 
     # catalog ----------------------------------------------------------------------------------------------
 
