@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from colonnade import cases
 from colonnade.kv import KeyValue
 from colonnade.session import Session
 
@@ -44,11 +46,39 @@ def _over(table: str, text: str, params: list | tuple = (), before: list[str] =
         session = mounted(spark, sf_dir, table)
         for statement in before:
             session.execute(statement)
-        return session.execute(text, params)
+        found = session.execute(text, params)
+        shown = (F.hex(f.name).alias(f.name) if isinstance(f.dataType, T.BinaryType) else f.name for f in found.schema)
+        return found.select(*shown)  # bytes in hexadecimal
 
     return run
 
 
+
+
+def _token_sql(table: str, key: str, width: int) -> str:
+    """DuckDB SQL: the table's columns and `token`, the Murmur3 token of a key of `width` bytes that isn't negative.
+
+    A step a level: bytes as signed ones into a word, two multiplications about a rotation, the length, and for both halves the finish.
+    """
+    times = lambda x, by: f"((({x})::UHUGEINT * {by}) % 18446744073709551616)::UBIGINT"
+    plus = lambda a, b: f"((({a})::UHUGEINT + {b}) % 18446744073709551616)::UBIGINT"
+    byte = lambda i: f"(({key}::UBIGINT >> {8 * (width - 1 - i)}) & 255)"
+    wide = lambda i: times(f"CASE WHEN {byte(i)} > 127 THEN 18446744073709551360::UBIGINT + {byte(i)} ELSE {byte(i)} END", 1 << 8 * i)
+    word = wide(0)
+    for i in range(1, width):
+        word = f"xor({word}, {wide(i)})"
+    steps = [word, times("x", 0x87C37B91114253D5), f"{times('x', 1 << 31)} | (x >> 33)", times("x", 0x4CF5AD432745937F), f"xor(x, {width}::UBIGINT)", plus("x", width)]
+    sql = f"SELECT *, {steps[0]} AS x FROM {table}"
+    for step in steps[1:]:
+        sql = f"SELECT * REPLACE ({step} AS x) FROM ({sql})"
+    sql = f"SELECT *, {plus('x', width)} AS y FROM ({sql})"
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        sql = f"SELECT * REPLACE (xor(x, x >> 33) AS x, xor(y, y >> 33) AS y) FROM ({sql})"
+        sql = f"SELECT * REPLACE ({times('x', by)} AS x, {times('y', by)} AS y) FROM ({sql})"
+    sql = f"SELECT *, {plus('xor(x, x >> 33)', 'xor(y, y >> 33)')} AS z FROM ({sql})"
+    return f"SELECT *, CASE WHEN z > 9223372036854775807 THEN (z::HUGEINT - 18446744073709551616)::BIGINT ELSE z::BIGINT END AS token FROM ({sql})"
+
+
 #: name -> (mounted table, statement, DuckDB SQL or None, statements before)
 _READS: dict[str, tuple] = {
     "scan_star": ("tpch.nation", "SELECT * FROM tpch.nation", "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
@@ -115,12 +145,12 @@ _READS: dict[str, tuple] = {
     "alias_project": ("tpch.orders_by_id", "SELECT o_orderkey AS k, o_orderstatus AS status FROM tpch.orders_by_id", "SELECT o_orderkey AS k, o_orderstatus AS status FROM orders"),
     "bind_values": ("tpch.orders", "SELECT o_orderkey FROM tpch.orders WHERE o_custkey = ? AND o_orderdate > ?", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderdate > TIMESTAMP '1995-01-01 00:00:00'", (), [7, 788918400000]),
     "int_blob_roundtrip": ("tpch.nation", "SELECT n_name, blobAsInt(intAsBlob(n_nationkey)) AS k FROM tpch.nation", "SELECT n_name, n_nationkey AS k FROM nation"),
-    "cast_blob": ("tpch.nation", "SELECT n_name, CAST(n_nationkey AS blob) AS b FROM tpch.nation", None),
+    "cast_blob": ("tpch.nation", "SELECT n_name, CAST(n_nationkey AS blob) AS b FROM tpch.nation", "SELECT n_name, printf('%08X', n_nationkey) AS b FROM nation"),
     "to_date": ("app.events", "SELECT event_id, toDate(ts) AS d FROM app.events", "SELECT event_id, CAST(ts AS DATE) AS d FROM events"),
     "to_unix": ("app.events", "SELECT event_id, toUnixTimestamp(ts) AS ms FROM app.events", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events"),
-    "token_value": ("tpch.nation", "SELECT n_nationkey, token(n_nationkey) AS t FROM tpch.nation", None),
-    "token_range": ("tpch.customer", "SELECT c_custkey FROM tpch.customer WHERE token(c_custkey) > 0", None),
-    "token_order_limit": ("tpch.customer", "SELECT c_custkey FROM tpch.customer LIMIT 10", None),
+    "token_value": ("tpch.nation", "SELECT n_nationkey, token(n_nationkey) AS t FROM tpch.nation", f"SELECT n_nationkey, token AS t FROM ({_token_sql('nation', 'n_nationkey', 4)})"),
+    "token_range": ("tpch.customer", "SELECT c_custkey FROM tpch.customer WHERE token(c_custkey) > 0", f"SELECT c_custkey FROM ({_token_sql('customer', 'c_custkey', 8)}) WHERE token > 0"),
+    "token_order_limit": ("tpch.customer", "SELECT c_custkey FROM tpch.customer LIMIT 10", f"SELECT c_custkey FROM ({_token_sql('customer', 'c_custkey', 8)}) ORDER BY token LIMIT 10"),
 }
 
 
@@ -263,10 +293,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _over(v[0], v[1], v[4] if len(v) > 4 else (), v[3] if len(v) > 3 else ()) for k, v in _READS.items()}
     out |= {k: _tagged(v[0]) for k, v in _TAGGED.items()}
     out |= {k: _stored(*v[:3]) for k, v in _STORED.items()}
-    return out | {k: v[0] for k, v in _KV.items()} | {"bulk_upsert": bulk_upsert}
+    return out | {k: v[0] for k, v in _KV.items()} | {"bulk_upsert": bulk_upsert} | cases.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: v[2] for k, v in _READS.items()} | {k: v[1] for k, v in _TAGGED.items()}
     out |= {k: v[3] for k, v in _STORED.items()} | {k: v[1] for k, v in _KV.items()} | {"bulk_upsert": _BULK}
-    return {k: v for k, v in out.items() if v}
+    return {k: v for k, v in out.items() if v} | cases.oracle_sql()
