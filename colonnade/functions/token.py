@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,43 +101,116 @@ def _signed(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
-def _native(value: Column, width: int) -> Column:
-    """The token of an integer of up to 8 bytes in whole-stage code; needs wrapping arithmetic (ANSI mode off)."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def rotate(x: Column, r: int) -> Column:
-        return F.shiftleft(x, r).bitwiseOR(F.shiftrightunsigned(x, 64 - r))
 
-    def finish(x: Column) -> Column:
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, 33)) * _signed(_F1)
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, 33)) * _signed(_F2)
-        return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
+def _rotated(x: Column, r: int) -> Column:
+    return F.shiftleft(x, r).bitwiseOR(F.shiftrightunsigned(x, 64 - r))
+
+
+def _finished(x: Column) -> Column:
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 33)) * _signed(_F1)
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 33)) * _signed(_F2)
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
+
+
+def _scrambled(k: Column, first: int, turn: int, second: int) -> Column:
+    return _rotated(k * _signed(first), turn) * _signed(second)
+
+
+def _ended(h1: Column, h2: Column, length: Column) -> Column:
+    h1, h2 = h1.bitwiseXOR(length), h2.bitwiseXOR(length)
+    return _let(h1 + h2, lambda h1: _let(_finished(h1) + _finished(h2 + h1), lambda out: F.when(out == F.lit(LEAST), F.lit(GREATEST)).otherwise(out)))
+
+
+def _of_integer(value: Column, width: int) -> Column:
+    """The token of an integer of up to 8 bytes; needs wrapping arithmetic (ANSI mode off)."""
 
     def byte(i: int) -> Column:
         return F.shiftleft(F.shiftright(value, 8 * (width - 1 - i)).cast("tinyint").cast("long"), 8 * i)
 
-    k1 = byte(0)
-    for i in range(1, width):
-        k1 = k1.bitwiseXOR(byte(i))
-    h1 = (rotate(k1 * _signed(_C1), 31) * _signed(_C2)).bitwiseXOR(F.lit(width).cast("long"))
-    h2 = F.lit(width).cast("long")
-    h1 = h1 + h2
-    h2 = h2 + h1
-    out = finish(h1) + finish(h2)
-    return F.when(out == F.lit(LEAST), F.lit(GREATEST)).otherwise(out)
+    k1 = reduce(lambda a, i: a.bitwiseXOR(byte(i)), range(1, width), byte(0))
+    return _ended(_scrambled(k1, _C1, 31, _C2), F.lit(0).cast("long"), F.lit(width).cast("long"))
+
+
+def _of_bytes(data: Column) -> Column:
+    """The token of serialised keys of any length, in the JVM; needs wrapping arithmetic."""
+
+    def word(at: Column) -> Column:
+        """Eight bytes from a place on (from 1), the first the lowest."""
+        x = F.conv(F.hex(F.substring(data, at, F.lit(8))), 16, -10).cast("long")
+        for mask, r in ((0x00FF00FF00FF00FF, 8), (0x0000FFFF0000FFFF, 16)):
+            x = F.shiftleft(x.bitwiseAND(F.lit(mask)), r).bitwiseOR(F.shiftrightunsigned(x, r).bitwiseAND(F.lit(mask)))
+        return F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32))
+
+    def both(h1: Column, h2: Column) -> Column:
+        return F.struct(h1.alias("h1"), h2.alias("h2"))
+
+    def block(h: Column, i: Column) -> Column:
+        a, b = _scrambled(word(i * 16 + 1), _C1, 31, _C2), _scrambled(word(i * 16 + 9), _C2, 33, _C1)
+        first = (_rotated(h["h1"].bitwiseXOR(a), 27) + h["h2"]) * 5 + _ADD1
+        return _let(first, lambda h1: both(h1, (_rotated(h["h2"].bitwiseXOR(b), 31) + h1) * 5 + _ADD2))
+
+    def tail(from_byte: Column, bytes_: Column) -> Column:
+        """Up to eight bytes as signed ones into a word."""
+
+        def add(x: Column, i: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(data, from_byte + i, F.lit(1))), 16, 10).cast("int").cast("tinyint").cast("long")
+            return x.bitwiseXOR(F.call_function("shiftleft", byte, i * 8))
+
+        steps = F.when(bytes_ > 0, F.sequence(F.lit(0), bytes_ - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, F.lit(0).cast("long"), add)
+
+    def whole(n: Column) -> Column:
+        blocks, rest = F.floor(n / 16).cast("int"), n % 16
+        steps = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+        zero = F.lit(0).cast("long")
+        k1, k2 = tail(n - rest + 1, F.least(rest, F.lit(8))), tail(n - rest + 9, rest - 8)
+        end = lambda h: _ended(h["h1"].bitwiseXOR(_scrambled(k1, _C1, 31, _C2)), h["h2"].bitwiseXOR(_scrambled(k2, _C2, 33, _C1)), n.cast("long"))
+        return F.when(n == 0, zero).otherwise(_let(F.aggregate(steps, both(zero, zero), block), end))
+
+    return F.when(data.isNotNull(), _let(F.octet_length(data), whole))
+
+
+def _wire_column(col: Column, kind: CqlType) -> Column | None:
+    """The bytes of a key column, as wire() gives them; None for kinds that the JVM's functions don't serialise."""
+    name = kind.name
+    if name in TEXT or name == "blob":
+        return col.cast("binary")
+    if name in ("uuid", "timeuuid"):
+        return F.unhex(F.regexp_replace(col, "-", ""))
+    if name == "boolean":
+        return F.unhex(F.when(col, F.lit("01")).when(~col, F.lit("00")))
+    if name in _WIDTHS:
+        digits = 2 * _WIDTHS[name]
+        return F.unhex(F.substring(F.lpad(F.hex(_as_long(col, kind)), 16, "0"), 17 - digits, digits))
+    return None
+
+
+def _as_long(col: Column, kind: CqlType) -> Column:
+    col = F.unix_date(col) if kind.name == "date" else F.unix_millis(col.cast("timestamp")) if kind.name == "timestamp" else col
+    return col.cast("long")
 
 
 def token_column(columns: list[Column], kinds: list[CqlType]) -> Column:
-    """The token of a table's partition key columns; null where a part is."""
+    """The token of a table's partition key columns; null where a part is. Floating-point and like kinds alone go through Python."""
     if len(kinds) == 1 and kinds[0].name in _WIDTHS:
-        name, col = kinds[0].name, columns[0]
-        col = F.unix_date(col) if name == "date" else F.unix_millis(col.cast("timestamp")) if name == "timestamp" else col
-        return _native(col.cast("long"), _WIDTHS[name])
+        return _of_integer(_as_long(columns[0], kinds[0]), _WIDTHS[kinds[0].name])
+    parts = [_wire_column(c, k) for c, k in zip(columns, kinds, strict=True)]
+    if None not in [p if p is None else True for p in parts]:
+        if len(parts) == 1:
+            return _of_bytes(parts[0])
+        framed = [x for p in parts for x in (F.unhex(F.lpad(F.hex(F.octet_length(p)), 4, "0")), p, F.lit(b"\x00"))]
+        return _let(F.concat(*framed), _of_bytes)
 
     @F.pandas_udf("long")
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for frame in batches:
             rows = frame.itertuples(index=False, name=None)
-            yield pd.Series([None if any(v is None for v in row) else token(list(row), kinds) for row in rows], dtype="Int64")
+            yield pd.Series([None if any(v is None or v is pd.NaT for v in row) else token(list(row), kinds) for row in rows], dtype="Int64")
 
     shown = [F.unix_millis(c.cast("timestamp")) if k.name == "timestamp" else F.unix_date(c) if k.name == "date" else c for c, k in zip(columns, kinds, strict=True)]
-    return compute(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(shown))))
+    whole = reduce(lambda a, c: a & c.isNotNull(), columns[1:], columns[0].isNotNull())
+    return F.when(whole, compute(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(shown)))))

@@ -1,19 +1,22 @@
-"""The commands. Writes are buffered by key and taken into a new snapshot by one keyed merge."""
+"""The commands. Writes are buffered by key and written as runs in scan order, which reads merge and which become one in time."""
 
 from __future__ import annotations
 
 import json
 import re
 import uuid
+from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.kv.wire import CommandError, Simple, encode, parse
-from colonnade.sources.store import Files, scratch_path
+from colonnade.sources.store import Files, qualified, scratch_path
 
-SCHEMA = "k string, v string"
-MAX_BUFFERED = 10_000
+SCHEMA = "k string, v string, place long"
+#: Keys whose changes are buffered, and runs of changes that reads merge, before they are written as one.
+MAX_BUFFERED, MAX_RUNS = 10_000, 8
 OK = Simple("OK")
 
 
@@ -27,25 +30,43 @@ def cursor(key: Column) -> Column:
     return F.xxhash64(key)
 
 
+def place_of(key: str) -> int:
+    """cursor() of one key, on the driver."""
+    found = xxhash.xxh64_intdigest(key.encode(), 42)
+    return found - (1 << 64) if found >> 63 else found
+
+
 class KeyValue:
     """String keys and values. path: where snapshots are kept; without it a folder of its own."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, frame: DataFrame | None = None):
         self.spark, self.files = spark, Files(spark)
         root = path or scratch_path(spark)
-        self.root = root.rstrip("/") if "://" in root or root.startswith("file:") else f"file://{root.rstrip('/')}"
+        self.root = qualified(spark, root)
         self.buffer: dict[str, str | None] = {}
         self.mounted = frame
         text = self.files.read(f"{self.root}/CURRENT")
-        self.version = json.loads(text)["version"] if text else None
+        held = json.loads(text) if text else {"runs": [], "stale": []}
+        self.runs: list[str] = held["runs"]
+        self.stale: list[str] = held["stale"]
 
     # state ------------------------------------------------------------------------------------------------
 
+    def _placed(self) -> DataFrame:
+        """k, v, place without what is buffered: of each key what the newest run holds; null values are deletions."""
+        if not self.runs:
+            held = self.mounted.select("k", "v") if self.mounted is not None else self.spark.createDataFrame([], "k string, v string")
+            return held.withColumn("place", cursor(F.col("k")))
+        runs = [self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{r}") for r in self.runs]
+        if len(runs) == 1:
+            return runs[0].filter("v is not null")
+        both = reduce(DataFrame.unionByName, (r.withColumn("age", F.lit(i)) for i, r in enumerate(runs)))
+        # place is a function of k; grouping by it too lets filters on it reach the files
+        return both.groupBy("k", "place").agg(F.max_by("v", "age").alias("v")).filter("v is not null").select("k", "v", "place")
+
     def snapshot(self) -> DataFrame:
         """Keys and values, without what is buffered."""
-        if self.version is not None:
-            return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{self.version}")
-        return self.mounted.select("k", "v") if self.mounted is not None else self.spark.createDataFrame([], SCHEMA)
+        return self._placed().select("k", "v")
 
     def frame(self) -> DataFrame:
         """Keys and values as they are now."""
@@ -56,27 +77,50 @@ class KeyValue:
         return kept.unionByName(changes.filter("new is not null").select("k", F.col("new").alias("v")))
 
     def flush(self) -> None:
-        if self.buffer:
+        """Write the buffer as a new run; what a mount holds is written with the first one, and many runs become one."""
+        if not self.buffer:
+            return
+        if len(self.runs) >= MAX_RUNS or self.mounted is not None and not self.runs:
             self._keep(self.frame())
+        else:
+            changes = self.spark.createDataFrame(list(self.buffer.items()), "k string, v string")
+            self._point([*self.runs, self._write(changes.coalesce(1))], [])
+            self.buffer = {}
 
     def _keep(self, frame: DataFrame) -> None:
-        old, version = self.version, uuid.uuid4().hex
-        frame.sortWithinPartitions(cursor(F.col("k"))).write.parquet(f"{self.root}/{version}")
-        self.files.replace(f"{self.root}/CURRENT", json.dumps({"version": version}))
-        self.version, self.buffer = version, {}
-        if old:
-            self.files.delete(f"{self.root}/{old}")
+        """The frame as the only run, its files in ranges of the scan order, so that a key is looked for in one of them."""
+        placed = frame.withColumn("place", cursor(F.col("k")))
+        self._point([self._write(placed.repartitionByRange("place").select("k", "v"))], self.runs)
+        self.buffer = {}
+
+    def _write(self, frame: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        frame.withColumn("place", cursor(F.col("k"))).sortWithinPartitions("place").write.parquet(f"{self.root}/{name}")
+        return name
+
+    def _point(self, runs: list[str], replaced: list[str]) -> None:
+        """Move the pointer. Replaced runs stay until the next are, so that frames handed out before can still be read."""
+        gone = self.stale if replaced else []
+        self.runs, self.stale = runs, replaced or self.stale
+        self.files.replace(f"{self.root}/CURRENT", json.dumps({"runs": self.runs, "stale": self.stale}))
+        for run in gone:
+            self.files.delete(f"{self.root}/{run}")
 
     def _set(self, items: dict[str, str | None]) -> None:
         self.buffer |= items
         if len(self.buffer) > MAX_BUFFERED:
             self.flush()
 
+    def _at(self, keys: list[str]) -> DataFrame:
+        """What the runs hold at some keys; files and row groups elsewhere in the scan order are skipped."""
+        places = sorted({place_of(k) for k in keys})
+        return self._placed().filter(F.col("place").isin(places) & F.col("k").isin(sorted(set(keys)))).select("k", "v")
+
     def _look_up(self, keys: list[str]) -> dict[str, str]:
         found = {k: v for k, v in ((k, self.buffer.get(k)) for k in keys) if v is not None}
         rest = sorted({k for k in keys if k not in self.buffer})
         if rest:
-            found |= {r.k: r.v for r in self.snapshot().filter(F.col("k").isin(rest)).collect()}
+            found |= {r.k: r.v for r in self._at(rest).collect()}
         return found
 
     # DataFrame forms --------------------------------------------------------------------------------------
@@ -86,7 +130,9 @@ class KeyValue:
         wanted = self.spark.createDataFrame(list(enumerate(keys)), "place long, k string")
         held = self.frame()
         if len(keys) <= MAX_BUFFERED:
-            held = held.filter(F.col("k").isin(sorted(set(keys))))
+            changed = [(k, self.buffer[k]) for k in sorted(set(keys)) if self.buffer.get(k) is not None]
+            rest = [k for k in keys if k not in self.buffer]
+            held = self._at(rest).unionByName(self.spark.createDataFrame(changed, "k string, v string"))
         return wanted.join(held, "k", "left").select("place", "k", "v").orderBy("place")
 
     def keys_frame(self, pattern: str) -> DataFrame:

@@ -274,6 +274,16 @@ def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).scan_frame(0, "customer:*", 100)
 
 
+def kv_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key once, by following the cursor."""
+    kv, seen, at = _customers(spark, sf_dir), [], "0"
+    while True:
+        at, keys = kv.execute("SCAN", at, "COUNT", "600")
+        seen += keys
+        if at == "0":
+            return spark.createDataFrame([(k,) for k in seen], "k string")
+
+
 def kv_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     kv = _customers(spark, sf_dir)
     return spark.createDataFrame([(kv.execute("EXISTS", "customer:1", "customer:1", "nobody"), kv.execute("DBSIZE"))], "there long, keys long")
@@ -283,6 +293,7 @@ _KV = {
     "kv_mget": (kv_mget, "SELECT place::BIGINT AS place, k, CASE k WHEN 'customer:2' THEN 'changed' WHEN 'customer:3' THEN NULL ELSE c_name END AS v FROM (VALUES (0,'customer:2'),(1,'customer:1'),(2,'nobody'),(3,'customer:3'),(4,'customer:1')) w(place, k) LEFT JOIN customer ON k = 'customer:' || c_custkey"),
     "kv_keys_glob": (kv_keys_glob, "SELECT 'customer:' || c_custkey AS k FROM customer WHERE c_custkey BETWEEN 10 AND 19"),
     "kv_scan": (kv_scan, None),
+    "kv_scan_all": (kv_scan_all, "SELECT 'customer:' || c_custkey AS k FROM customer"),
     "kv_exists": (kv_exists, "SELECT 2::BIGINT AS there, count(*) AS keys FROM customer"),
 }
 

@@ -6,6 +6,7 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,18 +209,32 @@ class Session:
         self.store.write(table, rows, statics, shards)
 
     def apply_changes(self, name: str, changes: DataFrame) -> None:
-        """Upsert a DataFrame of whole rows by key: one keyed merge, however many rows. Keys must be unique in it.
+        """Upsert a DataFrame of whole rows by key: one keyed merge, however many rows.
 
-        For bulk loads, and for foreachBatch of a stream.
+        For bulk loads, and for foreachBatch of a stream. A null in a key, or two rows with one key, is refused before anything is written.
         """
         space, _, table_name = name.partition(".")
         table = self._table(n.TableName(space, table_name), write=True)
         self.flush(table)
         keyed = mutate.tokens_of(table, changes)
+        self._check_keys(table, keyed)
         shards = {r[0] for r in keyed.select(self.store.shard_column(table, F.col(mutate.TOKEN))).distinct().collect()}  # at most the number of shards
         rows, statics = self.store.read(table, shards)
         self.store.write(table, mutate.upsert(table, rows, keyed, self.clock() * 1000), statics, shards)
 
+    def _check_keys(self, table: Table, rows: DataFrame) -> None:
+        """Counted by key before rows meet, so that one key with very many rows is no burden."""
+        keys = [f"`{c.name}`" for c in (*table.partition, *table.clustering)]
+        missing = [k for k in keys if k[1:-1] not in rows.columns]
+        if missing:
+            raise InvalidRequest(f"Missing mandatory PRIMARY KEY part {missing[0][1:-1]}")
+        empty = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+        found = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum(empty.cast("long")).alias("empty")).first()
+        if found.empty:
+            raise InvalidRequest("Invalid null value in a PRIMARY KEY part")
+        if (found.most or 0) > 1:
+            raise InvalidRequest("Rows of a bulk change must have different PRIMARY KEYs")
+
     # definitions ------------------------------------------------------------------------------------------
 
     def _define(self, s: object) -> None:

@@ -150,7 +150,10 @@ class Store:
                 dealt.sortWithinPartitions(*(f"`{c}`" for c in order)).write.partitionBy(SHARD).parquet(f"{base}/{version}/{name}")
             replaced = {k for k in pointer[name] if shards is None or int(k) in shards}
             stale += [f"{base}/{pointer[name].pop(k)}/{name}/{SHARD}={k}" for k in replaced]
-            pointer[name] |= {x.partition("=")[2]: version for x in self.files.names(f"{base}/{version}/{name}") if x.startswith(f"{SHARD}=")}
+            written = [x.partition("=")[2] for x in self.files.names(f"{base}/{version}/{name}") if x.startswith(f"{SHARD}=")]
+            if not all(k.isdigit() for k in written):
+                raise InvalidRequest("Invalid null value in a PRIMARY KEY part")
+            pointer[name] |= dict.fromkeys(written, version)
         pointer["stale"] = stale
         self.files.replace(f"{base}/CURRENT", json.dumps(pointer))
         for path in old_stale:

@@ -46,3 +46,39 @@ def test_framing(spark):
     assert parse(whole + b"*1\r\n$4\r\nPI") == ([["GET", "foo"], ["PING"]], b"*1\r\n$4\r\nPI")
     assert encode([None, 3, "é", CommandError("ERR x")]) == b"*4\r\n$-1\r\n:3\r\n$2\r\n\xc3\xa9\r\n-ERR x\r\n"
     assert KeyValue(spark).serve(b"PING\r\nGET\r\n")[0].startswith(b"+PONG\r\n-ERR wrong number")
+
+
+def test_runs_of_changes_are_merged_and_become_one(spark, tmp_path):
+    from colonnade.kv import engine
+
+    kv, plain = KeyValue(spark, str(tmp_path)), {}
+    for k in range(engine.MAX_RUNS + 2):
+        for line, changes in ((f"MSET a {k} k{k} {k}", {"a": str(k), f"k{k}": str(k)}), (f"DEL k{k - 2}", {f"k{k - 2}": None})):
+            kv.line(line)
+            plain |= changes
+        pending = kv.frame()
+        kv.flush()
+        assert dict(map(tuple, pending.collect())) == {k: v for k, v in plain.items() if v is not None}
+    assert len(kv.runs) < engine.MAX_RUNS
+    held = {k: v for k, v in plain.items() if v is not None}
+    again = KeyValue(spark, str(tmp_path))
+    assert dict(map(tuple, again.frame().collect())) == held
+    assert again.line("MGET a k1 k7 k9") == [held.get(k) for k in ("a", "k1", "k7", "k9")]
+
+
+def test_look_ups_push_the_scan_order_down(spark, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    frame = spark.range(5000).selectExpr("concat('k', id) AS k", "cast(id AS string) AS v")
+    kv = KeyValue(spark, str(tmp_path), frame)
+    kv.line("SET k7 changed")
+    kv.flush()
+    kv.line("DEL k8")
+    kv.flush()
+    assert kv.line("MGET k7 k8 k9 nobody") == ["changed", None, "9", None] and kv.line("DBSIZE") == 4999
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        kv._at(["k7"]).explain("formatted")
+    assert shown.getvalue().count("PushedFilters") == 2 and shown.getvalue().count("place") > 4
+    assert all("EqualTo(place" in line or "In(place" in line for line in shown.getvalue().splitlines() if "PushedFilters" in line)

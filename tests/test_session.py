@@ -395,3 +395,25 @@ def test_bulk_changes_merge_by_key(db):
     db.apply_changes("ks.bk", changes)
     assert sorted(rows(db, "SELECT k, c, v, w FROM bk")) == [("a", 1, 5, "old"), ("a", 3, None, None), ("b", 2, 6, None), ("z", 9, 9, None)]
     assert rows(db, "SELECT ttl(v), ttl(w) FROM bk WHERE k = 'a' AND c = 1") == [(None, 100)]
+
+
+@pytest.mark.parametrize("rows_in", [[(None, 1, 2)], [("a", None, 2)], [("a", 1, 2), ("a", 1, 3)], [("b", 1, 1), (None, 1, 2)]])
+def test_bulk_changes_with_bad_keys_change_nothing(db, rows_in):
+    run(db, "CREATE TABLE bad (k text, c int, v int, PRIMARY KEY (k, c))", "INSERT INTO bad (k, c, v) VALUES ('a', 1, 1)")
+    with pytest.raises(InvalidRequest):
+        db.apply_changes("ks.bad", db.spark.createDataFrame(rows_in, "k string, c int, v int"))
+    assert rows(db, "SELECT k, c, v FROM bad") == [("a", 1, 1)]
+    db.apply_changes("ks.bad", db.spark.createDataFrame([("a", 1, 9), ("n", 2, 2)], "k string, c int, v int"))
+    assert sorted(rows(db, "SELECT k, c, v FROM bad")) == [("a", 1, 9), ("n", 2, 2)]
+    with pytest.raises(InvalidRequest, match="Missing mandatory"):
+        db.apply_changes("ks.bad", db.spark.createDataFrame([("a", 1)], "k string, v int"))
+
+
+def test_a_pointer_never_names_a_shard_without_number(db):
+    run(db, "CREATE TABLE sh (k int PRIMARY KEY, v int)", "INSERT INTO sh (k, v) VALUES (1, 1)")
+    table = db.catalog.table("ks", "sh")
+    assert rows(db, "SELECT v FROM sh") == [(1,)]
+    whole, _ = db.store.read(table)
+    with pytest.raises(InvalidRequest):
+        db.store.write(table, whole.withColumn("_token", whole["_token"] * None), None)
+    assert rows(db, "SELECT v FROM sh") == [(1,)]

@@ -87,6 +87,29 @@ def test_token_columns_agree_with_the_scalar(spark):
     assert all(r.t == token([r.k, r.s], kinds) for r in both)
 
 
+def test_tokens_of_all_lengths_and_kinds_agree_with_the_scalar(spark):
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from colonnade.functions.token import token_column
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.ansi.enabled", "false")
+    rng = random.Random(3)
+    rows = [(n, bytearray(rng.randbytes(n)), "é🙂x"[: n % 4] * n, str(uuid.UUID(int=rng.getrandbits(128))), bool(n % 2), rng.getrandbits(15) - (1 << 14), dt.date(1970, 1, 1) + dt.timedelta(days=n * 400 - 9000), n / 3) for n in [*range(70), 255, 256, 1000]]
+    frame = session.createDataFrame([*rows, (None,) * 8], "a int, b binary, c string, d string, e boolean, f smallint, g date, h double").repartition(3)
+    kinds = dict(zip("abcdefgh", map(CqlType, "int blob text uuid boolean smallint date double".split()), strict=True))
+    for key in ["b", "c", "d", "e", "f", "g", "h", "ab", "bc", "cd", "ecg", "ha", "abcdefg"]:
+        used = [kinds[k] for k in key]
+        found = frame.select(*key, token_column([F.col(k) for k in key], used).alias("t"))
+        if "h" not in key:
+            assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        for r in found.collect():
+            assert r.t == (None if r[0] is None else token(list(r[:-1]), used)), (key, r)
+
+
 def test_durations():
     assert parse_duration("1y2mo3w4d5h6m7s8ms9us10ns") == Duration(14, 25, ((5 * 60 + 6) * 60 + 7) * 10**9 + 8_009_010)
 
