@@ -209,8 +209,10 @@ def token_column(columns: list[Column], kinds: list[CqlType]) -> Column:
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for frame in batches:
             rows = frame.itertuples(index=False, name=None)
-            yield pd.Series([None if any(v is None or v is pd.NaT for v in row) else token(list(row), kinds) for row in rows], dtype="Int64")
+            yield pd.Series([token(list(row), kinds) if whole else None for *row, whole in rows], dtype="Int64")
 
-    shown = [F.unix_millis(c.cast("timestamp")) if k.name == "timestamp" else F.unix_date(c) if k.name == "date" else c for c, k in zip(columns, kinds, strict=True)]
     whole = reduce(lambda a, c: a & c.isNotNull(), columns[1:], columns[0].isNotNull())
-    return F.when(whole, compute(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(shown)))))
+    shown = [_as_long(c, k) if k.name in _WIDTHS else c for c, k in zip(columns, kinds, strict=True)]
+    # a null would turn a batch's integers into floating-point numbers
+    shown = [F.coalesce(c, F.lit(0)) if k.name in _WIDTHS else F.coalesce(c, F.lit(0.0)) if k.name in ("float", "double") else c for c, k in zip(shown, kinds, strict=True)]
+    return compute(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(shown)), whole.alias("whole")))
