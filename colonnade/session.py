@@ -71,6 +71,7 @@ class Session:
         space, _, table_name = name.partition(".")
         if isinstance(frame, str):
             frame = self.spark.read.parquet(frame)
+        frame = self._own(frame)
         columns: dict[str, Column] = {}
         for field in frame.schema.fields:
             shown = field.dataType.simpleString()
@@ -216,12 +217,19 @@ class Session:
         space, _, table_name = name.partition(".")
         table = self._table(n.TableName(space, table_name), write=True)
         self.flush(table)
-        keyed = mutate.tokens_of(table, changes)
+        keyed = mutate.tokens_of(table, self._own(changes))
         self._check_keys(table, keyed)
         shards = {r[0] for r in keyed.select(self.store.shard_column(table, F.col(mutate.TOKEN))).distinct().collect()}  # at most the number of shards
         rows, statics = self.store.read(table, shards)
         self.store.write(table, mutate.upsert(table, rows, keyed, self.clock() * 1000), statics, shards)
 
+    def _own(self, frame: DataFrame) -> DataFrame:
+        """The frame in this engine's session, whose arithmetic wraps, whatever session it was made in."""
+        if frame.sparkSession is self.spark:
+            return frame
+        classic = self.spark._jvm.org.apache.spark.sql.classic.Dataset
+        return DataFrame(classic.ofRows(self.spark._jsparkSession, frame._jdf.logicalPlan()), self.spark)
+
     def _check_keys(self, table: Table, rows: DataFrame) -> None:
         """Counted by key before rows meet, so that one key with very many rows is no burden."""
         keys = [f"`{c.name}`" for c in (*table.partition, *table.clustering)]

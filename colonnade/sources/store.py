@@ -6,6 +6,7 @@ Files are reached through the file systems that Spark knows, so a store can lie
 from __future__ import annotations
 
 import json
+import math
 import tempfile
 import uuid
 
@@ -18,8 +19,10 @@ from colonnade.operators.mutate import empty_rows, stored_schema
 from colonnade.operators.predicates import TOKEN
 from colonnade.plans.catalog import Catalog, Table
 
-#: Shards of a new table, and the column that deals rows to them.
-SHARDS, SHARD = 8, "_shard"
+#: Shards of a new table, the column that deals rows to them, and the ranges of tokens in which tasks write a shard.
+SHARDS, SHARD, RANGES = 8, "_shard", 64
+#: Bytes of files that a shard is meant to hold; a table of twice as many a shard is dealt to more.
+SHARD_BYTES = 512 << 20
 
 
 def on_one_machine(spark: SparkSession) -> bool:
@@ -83,6 +86,10 @@ class Files:
         fs, shown = self._at(path)
         return [x.getPath().getName() for x in fs.listStatus(shown)] if fs.exists(shown) else []
 
+    def size(self, path: str) -> int:
+        fs, shown = self._at(path)
+        return fs.getContentSummary(shown).getLength()
+
     def delete(self, path: str) -> None:
         fs, shown = self._at(path)
         fs.delete(shown, True)
@@ -90,13 +97,14 @@ class Files:
 
 class Store:
     """Tables in shards by token, so that a write renews only the shards its keys are in, and a read of known
-    partitions opens only theirs. A table's pointer names the version of each shard.
+    partitions opens only theirs. A table's pointer names the version and size of each shard; as the table grows, it is dealt to
+    more shards, so that a small write never renews more than about two SHARD_BYTES for each key.
 
     What a write replaces stays for one write more, so that results which nothing has evaluated yet can still be read.
     """
 
-    def __init__(self, spark: SparkSession, root: str, shards: int = SHARDS):
-        self.spark, self.files, self.shards = spark, Files(spark), shards
+    def __init__(self, spark: SparkSession, root: str, shards: int = SHARDS, shard_bytes: int = SHARD_BYTES):
+        self.spark, self.files, self.shards, self.shard_bytes = spark, Files(spark), shards, shard_bytes
         self.root = qualified(spark, root)
 
     # catalog ----------------------------------------------------------------------------------------------
@@ -141,12 +149,31 @@ class Store:
 
     def write(self, table: Table, rows: DataFrame, statics: DataFrame | None, shards: set[int] | None = None) -> None:
         """Renew some shards or all: files sorted by token and clustering key, then the pointer."""
-        pointer, version, base = self._pointer(table), uuid.uuid4().hex, self._base(table)
-        old_stale, stale = pointer["stale"], []
+        pointer = self._pointer(table)
+        old_stale = pointer["stale"]
+        pointer = self._renew(table, pointer, rows, statics, shards)
+        total = sum(pointer["bytes"].values())
+        if total > 2 * self.shard_bytes * pointer["shards"]:
+            kept = pointer["stale"]
+            count = 1 << math.ceil(math.log2(total / self.shard_bytes))
+            pointer = self._renew(table, {**pointer, "shards": count}, *self.read(table), None)
+            pointer["stale"] += kept
+            self._point(table, pointer)
+        for path in old_stale:
+            self.files.delete(path)
+
+    def _point(self, table: Table, pointer: dict) -> None:
+        self.files.replace(f"{self._base(table)}/CURRENT", json.dumps(pointer))
+
+    def _renew(self, table: Table, pointer: dict, rows: DataFrame, statics: DataFrame | None, shards: set[int] | None) -> dict:
+        version, base, stale = uuid.uuid4().hex, self._base(table), []
+        sizes = {k: v for k, v in pointer.get("bytes", {}).items() if shards is not None and int(k) not in shards}
         for name, frame in (("rows", rows), ("statics", statics)):
             if frame is not None:
                 order = [SHARD, TOKEN, *((c.name for c in table.clustering) if name == "rows" else ())]
-                dealt = frame.withColumn(SHARD, self.shard_column(table, F.col(TOKEN))).repartition(SHARD)
+                # several tasks write a large shard, each a range of its tokens; small ranges are put together at run time
+                part = F.shiftright(F.col(TOKEN), 64 - RANGES.bit_length() + 1)
+                dealt = frame.withColumn(SHARD, F.pmod(F.col(TOKEN), F.lit(pointer["shards"])).cast("int")).repartition(SHARD, part)
                 dealt.sortWithinPartitions(*(f"`{c}`" for c in order)).write.partitionBy(SHARD).parquet(f"{base}/{version}/{name}")
             replaced = {k for k in pointer[name] if shards is None or int(k) in shards}
             stale += [f"{base}/{pointer[name].pop(k)}/{name}/{SHARD}={k}" for k in replaced]
@@ -154,10 +181,11 @@ class Store:
             if not all(k.isdigit() for k in written):
                 raise InvalidRequest("Invalid null value in a PRIMARY KEY part")
             pointer[name] |= dict.fromkeys(written, version)
-        pointer["stale"] = stale
-        self.files.replace(f"{base}/CURRENT", json.dumps(pointer))
-        for path in old_stale:
-            self.files.delete(path)
+            for k in written:
+                sizes[k] = sizes.get(k, 0) + self.files.size(f"{base}/{version}/{name}/{SHARD}={k}")
+        pointer = {**pointer, "bytes": sizes, "stale": stale}
+        self._point(table, pointer)
+        return pointer
 
     def drop(self, table: Table) -> None:
         self.files.delete(self._base(table))

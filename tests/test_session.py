@@ -417,3 +417,22 @@ def test_a_pointer_never_names_a_shard_without_number(db):
     with pytest.raises(InvalidRequest):
         db.store.write(table, whole.withColumn("_token", whole["_token"] * None), None)
     assert rows(db, "SELECT v FROM sh") == [(1,)]
+
+
+def test_shards_multiply_as_a_table_grows(spark, tmp_path):
+    db = Session(spark, str(tmp_path), shards=1)
+    db.store.shard_bytes = 20_000
+    run(db, "CREATE KEYSPACE w", "CREATE TABLE w.t (k bigint PRIMARY KEY, v text)", "INSERT INTO w.t (k, v) VALUES (-1, 'first')")
+    pending = db.execute("SELECT * FROM w.t")
+    db.apply_changes("w.t", spark.range(3000).selectExpr("id AS k", "sha2(cast(id AS string), 512) AS v"))
+    table = db.catalog.table("w", "t")
+    shards = db.store._pointer(table)["shards"]
+    assert shards >= 8 and pending.count() == 1
+    assert db.execute("SELECT COUNT(*) FROM w.t").first()[0] == 3001
+    before = set(db.execute("SELECT * FROM w.t").inputFiles())
+    run(db, "UPDATE w.t SET v = 'new' WHERE k = 7")
+    assert rows(db, "SELECT v FROM w.t WHERE k = 7") == [("new",)]
+    after = set(db.execute("SELECT * FROM w.t").inputFiles())
+    assert 0 < len(before - after) <= len(before) / 4
+    assert len(db.execute("SELECT * FROM w.t WHERE k = 7").inputFiles()) < len(after) / 4
+    assert Session(spark, str(tmp_path)).execute("SELECT COUNT(*) FROM w.t").first()[0] == 3001
