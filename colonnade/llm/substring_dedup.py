@@ -247,12 +247,17 @@ class PassageIndex:
         self.index.ingest(filed.select(F.explode("spans").alias("x")).select("x.h", "x.s"), name, count)
         return name
 
-    def repeated_windows(self) -> DataFrame:
-        """(k1, k2, ranges): the windows (a, c: first and count) of each key that also start elsewhere."""
+    def repeated_windows(self, last: bool = False) -> DataFrame:
+        """(k1, k2, ranges): the windows (a, c: first and count) of each key that also start elsewhere.
+
+        last: no later batch follows, so spans and runs are deleted as soon as they have been read.
+        """
         scratch = self.scratch
         batches = self.index.batches
         exploded = self._all("spans", batches, _SPAN_SCHEMA).select("k1", "k2", F.explode("spans").alias("x")).select("k1", "k2", "x.*")
         marked = scratch.write(exploded.join(self.index.repeated(), ["h", "s"]), "marked")
+        if last:
+            self.drop_spans()
         # of a whole span among others one copy is compared window by window, for all of its copies
         stands = marked.filter("whole and mixed").groupBy("h", "s").agg(F.min(F.struct("k1", "k2", "a")).alias("first"))
         stands = stands.select("first.*", F.lit(True).alias("stands"))
@@ -270,12 +275,15 @@ class PassageIndex:
         scratch.drop("marked", "candidates", "twice")
         return out
 
-    def kept(self, batches: list[str] | None = None) -> DataFrame:
-        """A row per row of the batches (default: all): doc_id, n_words, n_removed, kept; windows of any batch count as elsewhere."""
+    def kept(self, batches: list[str] | None = None, last: bool = False) -> DataFrame:
+        """A row per row of the batches (default: all): doc_id, n_words, n_removed, kept; windows of any batch count as elsewhere.
+
+        last: the index is not used again.
+        """
         chosen = self.index.batches if batches is None else batches
         if not chosen:
             return self.spark.createDataFrame([], _KEPT)
-        joined = self._all("documents", chosen, _DOCUMENTS).join(self.repeated_windows(), ["k1", "k2"], "left").select("doc_id", "body", "ranges")
+        joined = self._all("documents", chosen, _DOCUMENTS).join(self.repeated_windows(last), ["k1", "k2"], "left").select("doc_id", "body", "ranges")
         return joined.mapInArrow(_remover(self.window), _KEPT)
 
     def drop_spans(self) -> None:
@@ -323,6 +331,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     scratch.go_at_exit()
     for k in range(batches):
         index.ingest(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == k))
-    kept = index.kept()
-    index.drop_spans()
-    return kept
+    return index.kept(last=True)
