@@ -183,4 +183,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score 0.5 or more; columns are those of docs."""
     frame, restored = neutral(docs)
-    return restored(score(frame, fit(frame, labels)).filter("score >= 0.5"))
+    model = fit(frame, labels)
+    give_back()  # what training took; the driver lives on through the other stages
+    return restored(score(frame, model).filter("score >= 0.5"))

@@ -86,3 +86,12 @@ def test_a_repeated_id_brings_one_row(spark):
     finally:
         quality.train = kept
     assert len(seen) == sum(quality.zlib.crc32(str(i).encode()) % 3 != 1 for i in (2, 4))
+
+
+def test_the_driver_gives_back_what_training_took(spark, monkeypatch):
+    docs, done = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    model = quality.Model(np.zeros(1 << quality.BITS, np.float32), 0.0)
+    monkeypatch.setattr(quality, "fit", lambda *_: done.append("trained") or model)
+    monkeypatch.setattr(quality, "give_back", lambda: done.append("given back"))
+    quality.keep_good(docs, docs)
+    assert done == ["trained", "given back"]
